@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +65,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def binary_list(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: compact, prunable by column. Dropped when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/bidloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None and spark.sparkContext._jsc is not None:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import OP10_SQL, op10_licenses
 from .mixing import OP1_SQL, op1_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {
+        "op1_mixing": op1_mixing,
+        "op10_licenses": op10_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op10_licenses": OP10_SQL}
