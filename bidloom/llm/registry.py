@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import OP10_SQL, op10_licenses
 from .mixing import OP1_SQL, op1_mixing
+from .toxicity import op6_toxicity
+from .urls import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_url_filter": op4_url_filter,
+        "op6_toxicity": op6_toxicity,
         "op10_licenses": op10_licenses,
     }
 
