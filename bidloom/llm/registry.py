@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
 from .mixing import OP1_SQL, op1_mixing
 from .toxicity import op6_toxicity
@@ -15,6 +16,7 @@ from .urls import op4_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_html_extraction": op3_html_extraction,
         "op4_url_filter": op4_url_filter,
         "op6_toxicity": op6_toxicity,
         "op10_licenses": op10_licenses,
