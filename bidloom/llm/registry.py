@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
 from .mixing import OP1_SQL, op1_mixing
+from .pieces import op8_sentencepiece
 from .toxicity import op6_toxicity
 from .urls import op4_url_filter
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": op3_html_extraction,
         "op4_url_filter": op4_url_filter,
         "op6_toxicity": op6_toxicity,
+        "op8_sentencepiece": op8_sentencepiece,
         "op10_licenses": op10_licenses,
     }
 
