@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
+from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .pieces import op8_sentencepiece
 from .toxicity import op6_toxicity
@@ -20,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": op3_html_extraction,
         "op4_url_filter": op4_url_filter,
         "op6_toxicity": op6_toxicity,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_licenses": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op10_licenses": OP10_SQL}
