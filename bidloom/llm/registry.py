@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5_nearest_neighbours
+from .embdups import OP9_SQL, op9_embedding_dedup
 from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
 from .minhash import OP7_SQL, op7_minhash_dedup
@@ -20,12 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op3_html_extraction": op3_html_extraction,
         "op4_url_filter": op4_url_filter,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_toxicity": op6_toxicity,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op10_licenses": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL, "op10_licenses": OP10_SQL}
