@@ -10,6 +10,7 @@ from .ann import op5_nearest_neighbours
 from .embdups import OP9_SQL, op9_embedding_dedup
 from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
+from .lm import op2_lm_scoring
 from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .pieces import op8_sentencepiece
@@ -20,6 +21,7 @@ from .urls import op4_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_html_extraction": op3_html_extraction,
         "op4_url_filter": op4_url_filter,
         "op5_nearest_neighbours": op5_nearest_neighbours,
