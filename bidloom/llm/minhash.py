@@ -6,9 +6,10 @@
    every class of it is compared with the hub. Signatures are compared a batch of hashes at a time; a pair goes on
    while the posterior probability that its similarity reaches the threshold (uniform prior) is at least MISS.
 3. Each class's most similar surviving hub is checked on the full sets, and components are formed.
-4. Bands that still hold several components are compared in blocks of bounded size, only across components; survivors
-   are checked on the full sets, and the components are final. Pairs inside a component are never needed, so a group of
-   copies costs about as many checks as it has members.
+4. Bands that still hold several components are compared in blocks of bounded size, only across components. In rounds,
+   each component of a block has its most similar surviving pairs checked on the full sets, more of them each time, the
+   last time all; between rounds components merge, and bands left with one component drop out. Pairs inside a component
+   are never needed, so a group of copies costs about as many checks as it has members, and no link is lost.
 
 Only the texts of classes in shared bands are read a second time. Defined cases: null and empty texts and texts without
 words have an empty set, link with nothing and are kept; shorter texts than five words are one shingle; documents with
@@ -39,6 +40,8 @@ BATCH, MISS = 32, 1e-6
 PERCENT = 85
 #: Members of a band that are compared in one block.
 BLOCK = 1024
+#: Pairs that each component of a block sends to the exact check, by round; the last round sends all that are left.
+ROUNDS = (2, 32, None)
 
 _rng = np.random.default_rng(20240229)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,24 +143,42 @@ def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").take(pick), b.column("b").take(pick), pa.array(matches)], ["a", "b", "matches"])
 
 
-def _block(t: pa.Table) -> pa.Table:
-    """Surviving pairs of one block pair, across components."""
-    steps = needed_matches()
-    t = t.combine_chunks()
-    sig, node, comp, n, block = _matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
-    apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-    left, right = [], []
-    for k in range(len(node) - 1):
-        other = np.arange(k + 1, len(node))
-        fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
-        if apart:
-            fit &= block[other] != block[k]
-        other = other[fit]
-        alive, _ = going_on(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], steps)
-        left.append(np.full(len(alive), node[k]))
-        right.append(node[other[alive]])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _block(most: int | None):
+    """Surviving pairs of one block pair across components: for each component its `most` most similar ones, or all."""
+
+    def run(t: pa.Table) -> pa.Table:
+        steps = needed_matches()
+        t = t.combine_chunks()
+        sig, node, comp, n, block = _matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
+        apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        left, right, alike = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(node) - 1):
+            other = np.arange(k + 1, len(node))
+            fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
+            if apart:
+                fit &= block[other] != block[k]
+            other = other[fit]
+            alive, matches = going_on(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], steps)
+            left.append(np.full(len(alive), k))
+            right.append(other[alive])
+            alike.append(matches)
+        a, b, m = map(np.concatenate, (left, right, alike))
+        if most is not None and len(a):
+            order = np.argsort(-m, kind="stable")
+            a, b = a[order], b[order]
+            kept = np.zeros(len(a), bool)
+            for side in (comp[a], comp[b]):
+                by = np.argsort(side, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], side[by][1:] != side[by][:-1]]))
+                place = np.arange(len(by)) - np.repeat(first, np.diff(np.concatenate([first, [len(by)]])))
+                kept[by[place < most]] = True
+            cut = len(kept) > kept.sum()
+            a, b = a[kept], b[kept]
+        else:
+            cut = False
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "cut": np.full(len(a), cut)})
+
+    return run
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,22 +233,27 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "matches"))
     best = both.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     tested = check(best)
-    first = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comps = components(first)
-
-    member = attach(members, comps, "node", "left", 500_000).withColumn("comp", F.coalesce("component", "node"))
-    open_bands = settle(member.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high and m > 2").select("band", "m"))
+    links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comps = components(links)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        attach(member, open_bands, "band", "inner", 500_000)
-        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp")
-        .join(classes.select("node", "n", "sig"), "node")
-    )
-    across = dealt.groupBy("band", "i", "j").applyInArrow(_block, "a long, b long").distinct()
-    rest = check(settle(across.join(tested, ["a", "b"], "left_anti")))
-    return components(first.union(rest.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    for most in ROUNDS:
+        member = attach(members, comps, "node", "left", 500_000).withColumn("comp", F.coalesce("component", "node"))
+        open_bands = settle(member.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high and m > 2").select("band", "m"))
+        dealt = (
+            attach(member, open_bands, "band", "inner", 500_000)
+            .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp")
+            .join(classes.select("node", "n", "sig"), "node")
+        )
+        across = settle(dealt.groupBy("band", "i", "j").applyInArrow(_block(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
+        rest = check(settle(across.select("a", "b").join(tested, ["a", "b"], "left_anti")))
+        links = links.union(rest.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        comps = components(links)
+        if not across.filter("cut").limit(1).count():
+            break
+        tested = tested.union(rest)
+    return comps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
