@@ -1,0 +1,6 @@
+"""Registered queries and the SQL that checks them."""
+
+from . import mart_queries
+
+QUERIES = {**mart_queries.QUERIES}
+ORACLES = {**mart_queries.ORACLES}
