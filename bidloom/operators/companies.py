@@ -53,7 +53,7 @@ def roles(companies: DataFrame) -> DataFrame:
     main, extra = okved_role(F.col("okved_main")), F.transform(parts(F.col("okved_extra")), okved_role)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = companies.withColumn("__extra", extra).withColumn("__main", main).withColumn("__okpd", F.when(F.col("okved_main").isNull() & F.col("top_cls").isNotNull(), okpd_role(F.col("top_cls"))))
-    count = {r: F.size(F.filter("__extra", lambda x, r=r: x == r)) for r in names}
+    count = {r: F.size(F.filter("__extra", (lambda role: lambda x: x == role)(r))) for r in names}
     top_extra = F.greatest(*count.values())
     for k, r in enumerate(names):
         earlier = reduce(lambda a, b: a & b, [count[x] < count[r] for x in names[:k]], F.lit(True))

@@ -21,11 +21,11 @@ def bid_weight(won: Column) -> Column:
 
 def code_matches(similar_lots: DataFrame, lot_codes: DataFrame, shares: DataFrame) -> DataFrame:
     """Adds match: 1 if the query has no codes, the lot has none, or they share one; else a fixed discount."""
-    coded = lot_codes.select(F.col("lot_id").alias("id")).distinct().withColumn("coded", F.lit(True))
-    wanted = shares.select("query_id").distinct().withColumn("wanted", F.lit(True))
-    hits = similar_lots.select("query_id", "id").join(lot_codes.withColumnRenamed("lot_id", "id"), "id").join(shares.select("query_id", "code8"), ["query_id", "code8"], "left_semi").select("query_id", "id").distinct().withColumn("hit", F.lit(True))
-    joined = similar_lots.join(coded, "id", "left").join(wanted, "query_id", "left").join(hits, ["query_id", "id"], "left")
-    return joined.withColumn("match", F.when(F.col("wanted") & F.col("coded") & F.col("hit").isNull(), V.CODE_MISMATCH).otherwise(1.0)).drop("coded", "wanted", "hit")
+    held = lot_codes.groupBy(F.col("lot_id").alias("id")).agg(F.collect_set("code8").alias("held"))
+    wanted = shares.groupBy("query_id").agg(F.collect_set("code8").alias("wanted"))
+    joined = similar_lots.join(held, "id", "left").join(wanted, "query_id", "left")
+    apart = ~F.arrays_overlap("held", "wanted")  # null, and so no discount, where either side has no codes
+    return joined.withColumn("match", F.when(apart, V.CODE_MISMATCH).otherwise(1.0)).drop("held", "wanted")
 
 
 def from_similar_lots(matched: DataFrame, lots: DataFrame, bids: DataFrame, day: Column, market: Market = Market()) -> DataFrame:

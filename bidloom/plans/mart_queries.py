@@ -192,9 +192,9 @@ def _role_sql() -> str:
         )
         + " SELECT s.inn, "
         + ", ".join(f"round(max(s.score) FILTER (WHERE s.role = '{r}'), 6) AS role_{r}" for r in names)
-        + """, any_value(CASE WHEN total > 0 THEN b1.role END) AS role, any_value(round(CASE WHEN total > 0 THEN b1.score / total ELSE 0 END, 2)) AS role_confidence,
-  any_value(CASE WHEN total = 0 THEN '' WHEN b1.score / total >= 0.8 AND sig >= 2 THEN 'высокая' WHEN b1.score / total >= 0.55 THEN 'средняя' ELSE 'низкая' END) AS role_level,
-  any_value(CASE WHEN total > 0 AND score2 >= 0.3 * b1.score AND sig2 > 0 THEN role2 END) AS role_alt
+        + """, any_value(CASE WHEN b1.total > 0 THEN b1.role END) AS role, any_value(round(CASE WHEN b1.total > 0 THEN b1.score / b1.total ELSE 0 END, 2)) AS role_confidence,
+  any_value(CASE WHEN b1.total = 0 THEN '' WHEN b1.score / b1.total >= 0.8 AND b1.sig >= 2 THEN 'высокая' WHEN b1.score / b1.total >= 0.55 THEN 'средняя' ELSE 'низкая' END) AS role_level,
+  any_value(CASE WHEN b1.total > 0 AND score2 >= 0.3 * b1.score AND sig2 > 0 THEN role2 END) AS role_alt
  FROM s JOIN b1 USING (inn) JOIN b2 USING (inn) GROUP BY s.inn"""
     )
 
@@ -204,10 +204,10 @@ def baseline_top_okpd(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BASE = f"""ca AS ({_codes_sql(f"WHERE l.publish_date < DATE '{CUTOFF}'", "substr(okpd2_code, 1, 8)", "code8")}),
-best AS (SELECT code8, inn, at FROM (SELECT code8, inn, row_number() OVER (PARTITION BY code8 ORDER BY n_wins DESC, inn) AS at FROM ca) WHERE at <= 50),
+best AS (SELECT code8, inn, pos FROM (SELECT code8, inn, row_number() OVER (PARTITION BY code8 ORDER BY n_wins DESC, inn) AS pos FROM ca) WHERE pos <= 50),
 lc0 AS (SELECT lot_id AS query_id, substr(okpd2_code, 1, 8) AS code8, min(product_name) AS name FROM items JOIN lots USING (lot_id) WHERE okpd2_code IS NOT NULL AND publish_date >= DATE '{CUTOFF}' GROUP BY ALL),
 lc AS (SELECT query_id, code8, row_number() OVER (PARTITION BY query_id ORDER BY name, code8) AS code_at FROM lc0),
-bc0 AS (SELECT query_id, inn, min(row(code_at, at)) AS key FROM lc JOIN best USING (code8) GROUP BY ALL),
+bc0 AS (SELECT query_id, inn, min(row(code_at, pos)) AS key FROM lc JOIN best USING (code8) GROUP BY ALL),
 bc AS (SELECT query_id, inn, row_number() OVER (PARTITION BY query_id ORDER BY key, inn) AS place FROM bc0),
 cc AS (SELECT customer_inn, cls, inn, count(DISTINCT lot_id) AS wins FROM bids JOIN lots USING (lot_id) JOIN (SELECT DISTINCT lot_id, substr(okpd2_code, 1, 5) AS cls FROM items WHERE okpd2_code IS NOT NULL) USING (lot_id)
   WHERE is_winner AND publish_date < DATE '{CUTOFF}' GROUP BY ALL),
@@ -236,7 +236,7 @@ def eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 def newcomer_share(spark: SparkSession, d: str) -> DataFrame:
     lots, _, bids = _three(spark, d)
-    return E.newcomers(lots, bids, "1995-03-01").groupBy("inn").agg(F.count("*").alias("lots"))
+    return E.newcomers(lots, bids, "1995-01-03").groupBy("inn").agg(F.count("*").alias("lots"))
 
 
 def price_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +309,7 @@ ORACLES = {
     "baseline_top_okpd": with_(_BASE) + " SELECT query_id, inn, CAST(place AS INTEGER) AS place FROM bc WHERE place <= 10",
     "baseline_customer_okpd": with_(_BASE) + " SELECT query_id, inn, CAST(place AS INTEGER) AS place FROM bcr WHERE place <= 10",
     "eval_hit_mrr": with_(_BASE) + " SELECT count(*) AS n, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0 END), 4) AS mrr, round(avg(recall), 4) AS recall FROM rk",
-    "newcomer_share": with_("o AS (SELECT DISTINCT inn FROM bids JOIN lots USING (lot_id) WHERE publish_date < DATE '1995-03-01')") + " SELECT inn, count(DISTINCT lot_id) AS lots FROM bids JOIN lots USING (lot_id) WHERE is_winner AND publish_date >= DATE '1995-03-01' AND inn NOT IN (SELECT inn FROM o) GROUP BY inn",
+    "newcomer_share": with_("o AS (SELECT DISTINCT inn FROM bids JOIN lots USING (lot_id) WHERE publish_date < DATE '1995-01-03')") + " SELECT inn, count(DISTINCT lot_id) AS lots FROM bids JOIN lots USING (lot_id) WHERE is_winner AND publish_date >= DATE '1995-01-03' AND inn NOT IN (SELECT inn FROM o) GROUP BY inn",
     "price_fit": with_("buyers AS (SELECT c_nationkey AS query_id, round(avg(o_totalprice), 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)", "m AS (SELECT inn, median(start_price) AS m FROM bids JOIN lots USING (lot_id) GROUP BY inn)")
         + " SELECT inn, query_id, round(exp(-pow(ln(price / m), 2) / 4.5), 6) AS fit FROM m, buyers",
     "inn_normalise": "SELECT c_custkey, CASE WHEN length(e) IN (10, 12) THEN e END AS inn FROM (SELECT c_custkey, CASE WHEN length(d) IN (9, 11) THEN '0' || d ELSE d END AS e FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '7') || CASE c_custkey % 3 WHEN 0 THEN '12' WHEN 1 THEN '' ELSE '5551' END AS d FROM customer))",
