@@ -149,7 +149,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, sample: in
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.filter(F.size("vector") == (lengths["size"] if lengths else 0))
+    if lengths is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.filter(F.size("vector") == lengths["size"])
     taken = np.array([r["vector"] for r in rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()], float)
     shared = spark.sparkContext.broadcast(Router(taken.reshape(len(taken), -1), parts, recall, k))
 
