@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, binary_list, mix64, settle, table, written
+from .common import attach, binary_list, mix64, settle, slices, table, tidy, written
 from .graph import components
 
 WIDTH = 5
@@ -81,7 +81,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < whole.num_rows:
             sets, n, size = [], 0, 0
-            while at + n < whole.num_rows and n < 1000 and size < 200_000:
+            while at + n < whole.num_rows and n < 1000 and size < 100_000:
                 sets.append(shingle_hashes(texts[at + n].as_buffer().to_pybytes() if texts[at + n].is_valid else None))
                 size, n = size + len(sets[-1]), n + 1
             full = [s for s in sets if len(s)]
@@ -192,7 +192,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 1000)):
         sets = [s for s in map(shingle_hashes, binary_list(b.column("text"))) if len(s)]
         nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
@@ -208,7 +208,7 @@ def ends(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, mark, n, node, sig, bands of each document, written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_digest, f"doc_id {kind}, mark long, n long, node long, sig binary, bands array<long>"))
+    return written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(_digest), f"doc_id {kind}, mark long, n long, node long, sig binary, bands array<long>"))
 
 
 def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
@@ -223,13 +223,13 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
     some = attach(digest.select("doc_id", "n", "node", "sig"), involved, "node", "inner", 500_000)
     classes = settle(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     texts = attach(docs.select("doc_id", "text"), settle(classes.select("doc_id").distinct()), "doc_id", "inner", 2_000_000)
-    sets = texts.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    sets = texts.mapInArrow(tidy(_sets), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
     sets = written(sets)
     fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(PERCENT) * F.greatest("n_a", "n_b")
-    check = lambda pairs: settle(ends(pairs, sets, ["set"]).mapInArrow(_exact, "a long, b long, linked boolean"))
+    check = lambda pairs: settle(ends(pairs, sets, ["set"]).mapInArrow(tidy(_exact), "a long, b long, linked boolean"))
 
     stars = members.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    near = settle(ends(stars, classes, ["n", "sig"]).filter(fits).mapInArrow(_bayes, "a long, b long, matches long"))
+    near = settle(ends(stars, classes, ["n", "sig"]).filter(fits).mapInArrow(tidy(_bayes), "a long, b long, matches long"))
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "matches"))
     best = both.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     tested = check(best)

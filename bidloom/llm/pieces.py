@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table, tidy
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The penalty of a character without a piece, below the worst score.
 UNKNOWN_PENALTY = 10.0
 #: Words up to so many characters are remembered, so many of them at a time.
-REMEMBERED_LENGTH, REMEMBERED = 40, 600_000
+REMEMBERED_LENGTH, REMEMBERED = 40, 300_000
 
 
 def read_fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -311,8 +311,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, scores: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                part = b.slice(start, 2000)
+            for part in slices(b, 500):
                 texts = part.column("text").to_pylist()
                 rows = coder.encode_all(texts)
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -328,7 +327,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, scores: str
                     ["doc_id", "ids", "n_pieces", "n_byte_pieces", "score", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, n_byte_pieces long, score double, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, n_pieces long, n_byte_pieces long, score double, round_trip boolean")
 
 
 def decode_documents(coded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, slices, table, tidy
 
 MOST_LABELLED, MOST_ENTRIES, CALIBRATION = 200_000, 20_000, 20_000
 #: Lengths of word beginnings that may become entries.
@@ -60,7 +60,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return out
 
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 1000)):
         for text, slot in zip(b.column("text").to_pylist(), b.column("slot").to_pylist(), strict=True):
             for w in set(fold(text or "").split()):
                 held.setdefault(w, [0, 0, 0, 0])[slot] += 1
@@ -155,7 +155,7 @@ class Model:
 
     def scores(self, batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
         auto = automaton(self.lexicon)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1000)):
             x = np.array([inputs(*weigh(auto, t)) for t in b.column("text").to_pylist()]).reshape(-1, 2)
             z = self.bias[0] + x @ np.array(self.bias[1:])
             yield emit(b, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     """usable: which rows of labels may be learned from."""
     marked = labelled_documents(docs, labels, F.lit(True) if usable is None else usable, most)
     words = settle(
-        marked.select("text", "slot").mapInArrow(_counted, "word string, clean0 long, toxic0 long, clean1 long, toxic1 long")
+        marked.select("text", "slot").mapInArrow(tidy(_counted), "word string, clean0 long, toxic0 long, clean1 long, toxic1 long")
         .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean0", "toxic0", "clean1", "toxic1")])
     )
     n = Counter({r["slot"]: r["count"] for r in marked.groupBy("slot").count().collect()})
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most
     other = marked.filter(F.col("slot") >= 2)
     if n[2] + n[3] > CALIBRATION:
         other = other.filter(F.pmod(F.shiftright("hash", 1), F.lit(1 << 20)) < int(CALIBRATION / (n[2] + n[3]) * (1 << 20)))
-    got = np.array([tuple(r) for r in other.select("text", "slot").mapInArrow(measured, "a double, b double, y double").collect()]).reshape(-1, 3)
+    got = np.array([tuple(r) for r in other.select("text", "slot").mapInArrow(tidy(measured), "a double, b double, y double").collect()]).reshape(-1, 3)
     return Model(whole, curve(got[:, :2], got[:, 2]))
 
 
@@ -193,13 +193,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     emit = lambda b, s: pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
-    return docs.select("doc_id", "text").mapInArrow(lambda it: shared.value.scores(it, emit), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(lambda it: shared.value.scores(it, emit)), f"doc_id {kind}, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     """The documents whose score is below the limit, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: shared.value.scores(it, lambda b, s: b.filter(pa.array(s < limit))), docs.schema)
+    return docs.mapInArrow(tidy(lambda it: shared.value.scores(it, lambda b, s: b.filter(pa.array(s < limit)))), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
