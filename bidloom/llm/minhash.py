@@ -7,9 +7,11 @@
    while the posterior probability that its similarity reaches the threshold (uniform prior) is at least MISS.
 3. Each class's most similar surviving hub is checked on the full sets, and components are formed.
 4. Bands that still hold several components are compared in blocks of bounded size, only across components. In rounds,
-   each component of a block has its most similar surviving pairs checked on the full sets, more of them each time, the
-   last time all; between rounds components merge, and bands left with one component drop out. Pairs inside a component
-   are never needed, so a group of copies costs about as many checks as it has members, and no link is lost.
+   each component of a block has its most similar surviving pairs checked on the full sets, more of them each time;
+   between rounds components merge, and blocks with one component or no unchecked pair drop out. What is left then is
+   few blocks with many pairs that survive by signature but not by set: these get the sets themselves and check every
+   surviving pair inside the task. Pairs inside a component are never needed, so a group of copies costs about as many
+   checks as it has members, and no link is lost.
 
 Only the texts of classes in shared bands are read a second time. Defined cases: null and empty texts and texts without
 words have an empty set, link with nothing and are kept; shorter texts than five words are one shingle; documents with
@@ -40,8 +42,8 @@ BATCH, MISS = 32, 1e-6
 PERCENT = 85
 #: Members of a band that are compared in one block.
 BLOCK = 1024
-#: Pairs that each component of a block sends to the exact check, by round; the last round sends all that are left.
-ROUNDS = (2, 32, None)
+#: Pairs that each component of a block sends to the exact check, by round; after these, blocks with more check them all on the spot.
+ROUNDS = (2, 8)
 
 _rng = np.random.default_rng(20240229)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,44 +145,69 @@ def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").take(pick), b.column("b").take(pick), pa.array(matches)], ["a", "b", "matches"])
 
 
-def _block(most: int | None):
-    """Surviving pairs of one block pair across components: for each component its `most` most similar ones, or all."""
+def _survivors(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a block pair: its place, the places of the later rows of other components whose signatures go on with its own, and their matches."""
+    steps = needed_matches()
+    sig, comp, n, block = _matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("comp", "n", "block"))
+    apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    for k in range(t.num_rows - 1):
+        other = np.arange(k + 1, t.num_rows)
+        fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
+        if apart:
+            fit &= block[other] != block[k]
+        other = other[fit]
+        alive, matches = going_on(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], steps)
+        yield k, other[alive], matches
+
+
+def _block(most: int):
+    """Surviving pairs of one block pair across components: the `most` most similar ones of each component; cut: whether there are more."""
 
     def run(t: pa.Table) -> pa.Table:
-        steps = needed_matches()
         t = t.combine_chunks()
-        sig, node, comp, n, block = _matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
-        apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        left, right, alike = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(node) - 1):
-            other = np.arange(k + 1, len(node))
-            fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
-            if apart:
-                fit &= block[other] != block[k]
-            other = other[fit]
-            alive, matches = going_on(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other], steps)
-            left.append(np.full(len(alive), k))
-            right.append(other[alive])
-            alike.append(matches)
-        a, b, m = map(np.concatenate, (left, right, alike))
-        if most is not None and len(a):
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        found = [(np.full(len(o), k), o, m) for k, o, m in _survivors(t)]
+        a, b, m = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        kept = np.zeros(len(a), bool)
+        if len(a):
             order = np.argsort(-m, kind="stable")
             a, b = a[order], b[order]
-            kept = np.zeros(len(a), bool)
             for side in (comp[a], comp[b]):
                 by = np.argsort(side, kind="stable")
                 first = np.flatnonzero(np.concatenate([[True], side[by][1:] != side[by][:-1]]))
                 place = np.arange(len(by)) - np.repeat(first, np.diff(np.concatenate([first, [len(by)]])))
                 kept[by[place < most]] = True
-            cut = len(kept) > kept.sum()
-            a, b = a[kept], b[kept]
-        else:
-            cut = False
-        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "cut": np.full(len(a), cut)})
+        cut, a, b = not kept.all(), a[kept], b[kept]
+        key = {c: pa.array([t.column(c)[0].as_py()] * len(a), pa.int64()) for c in ("band", "i", "j")}
+        return pa.table(key | {"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "cut": np.full(len(a), cut)})
 
     return run
 
 
+def _exact_block(t: pa.Table) -> pa.Table:
+    """Links between components of one block pair, checked on the sets; pairs whose components have met meanwhile are skipped."""
+    t = t.combine_chunks()
+    node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in binary_list(t.column("set").combine_chunks())]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for k, other, matches in _survivors(t):
+        for j in other[np.argsort(-matches, kind="stable")].tolist():
+            if (p := find(comp[k])) != (q := find(comp[j])):
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (len(sets[k]) + len(sets[j]) - both):
+                    root[p] = q
+                    links.append((int(node[k]), int(node[j])))
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -236,24 +263,32 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
     links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = components(links)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    for most in ROUNDS:
+    sizes = settle(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 2"))
+    left = None  # the blocks that may hold unchecked pairs
+
+    def dealt(columns: DataFrame) -> DataFrame:
         member = attach(members, comps, "node", "left", 500_000).withColumn("comp", F.coalesce("component", "node"))
-        open_bands = settle(member.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high and m > 2").select("band", "m"))
-        dealt = (
+        open_bands = settle(member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band").join(sizes, "band"))
+        rows = (
             attach(member, open_bands, "band", "inner", 500_000)
             .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp")
-            .join(classes.select("node", "n", "sig"), "node")
         )
-        across = settle(dealt.groupBy("band", "i", "j").applyInArrow(_block(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        rest = check(settle(across.select("a", "b").join(tested, ["a", "b"], "left_anti")))
+        return (rows if left is None else attach(rows, left, ["band", "i", "j"], "left_semi")).join(columns, "node")
+
+    signed = classes.select("node", "n", "sig")
+    for most in ROUNDS:
+        across = settle(dealt(signed).groupBy("band", "i", "j").applyInArrow(_block(most), "band long, i long, j long, a long, b long, cut boolean"))
+        rest = check(settle(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")))
         links = links.union(rest.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         comps = components(links)
-        if not across.filter("cut").limit(1).count():
-            break
         tested = tested.union(rest)
-    return comps
+        left = settle(across.filter("cut").select("band", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).distinct())
+        if not left.limit(1).count():
+            return comps
+    last = settle(dealt(signed.join(sets, "node")).groupBy("band", "i", "j").applyInArrow(_exact_block, "u long, v long"))
+    return components(links.union(last))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
