@@ -170,7 +170,8 @@ def confidence_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 def factor_contributions(spark: SparkSession, d: str) -> DataFrame:
-    return R.contributions(Scene(spark, d).ranked())
+    """query_id, inn, factor, points: what each factor adds to a ranked supplier's score."""
+    return R.contributions(Scene(spark, d).ranked()).select("query_id", "inn", F.inline("factors"))
 
 
 def reasons_text(spark: SparkSession, d: str) -> DataFrame:
@@ -259,12 +260,12 @@ _FEATURES = f"""nb AS (SELECT lot_id, count(*) AS n_bidders FROM bids GROUP BY l
 rows0 AS (SELECT query_id, inn, sim, match, platform, l.customer_inn, publish_date, is_winner, n_bidders, sim >= {V.SIMILAR_ENOUGH} AND match = 1.0 AS strict FROM matched JOIN lots l ON l.lot_id = id JOIN bids b ON b.lot_id = id JOIN nb ON nb.lot_id = id),
 a AS (SELECT query_id, inn, sum(sim * sim * match * CASE WHEN is_winner THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * pow(0.5::DOUBLE, greatest(date_diff('day', publish_date, DATE '{CUTOFF}'), 0) / 365.0::DOUBLE)) AS text,
   count(*) FILTER (WHERE strict AND is_winner) AS wins, count(*) FILTER (WHERE strict) AS parts, count(*) FILTER (WHERE strict AND platform = 'ESHOP') AS em_parts, count(*) FILTER (WHERE strict AND platform = 'ESHOP' AND is_winner) AS em_wins,
-  count(*) FILTER (WHERE strict AND platform <> 'ESHOP' AND is_winner) AS ais_wins, count(DISTINCT customer_inn) FILTER (WHERE strict) AS customers, max(publish_date) FILTER (WHERE strict) AS last FROM rows0 GROUP BY ALL),
+  count(*) FILTER (WHERE strict AND platform <> 'ESHOP' AND is_winner) AS ais_wins, count(DISTINCT customer_inn) FILTER (WHERE strict) AS customers, max(publish_date) FILTER (WHERE strict) AS last, count(*) FILTER (WHERE strict AND platform = 'ESHOP' AND is_winner AND n_bidders > 1) AS comp_wins FROM rows0 GROUP BY ALL),
 c8 AS ({_codes_sql(f"WHERE l.publish_date < DATE '{CUTOFF}'", "substr(okpd2_code, 1, 8)", "code8")}),
 o AS (SELECT query_id, inn, sum(share * (n_wins + (n_lots - n_wins) * 0.5::DOUBLE)) AS okpd_exp, sum(n_lots) AS code_lots, sum(n_wins) AS code_wins FROM shares JOIN c8 USING (code8) GROUP BY ALL),
 own AS (SELECT c.query_id, l.lot_id FROM cards c JOIN lots l USING (customer_inn) WHERE l.publish_date < DATE '{CUTOFF}'),
 rel AS (SELECT DISTINCT query_id, lot_id FROM own JOIN lcodes USING (lot_id) WHERE (query_id, substr(code8, 1, 5)) IN (SELECT (query_id, substr(code8, 1, 5)) FROM given)),
-h AS (SELECT o2.query_id, inn, sum(CASE WHEN r.lot_id IS NULL THEN 0.0::DOUBLE WHEN is_winner THEN 1.0 ELSE 0.5 END) AS rel_w, sum(CASE WHEN is_winner THEN 1.0::DOUBLE ELSE 0.5 END) AS any_w FROM own o2 LEFT JOIN rel r USING (query_id, lot_id) JOIN bids USING (lot_id) GROUP BY o2.query_id, inn),
+h AS (SELECT o2.query_id, inn, sum(CASE WHEN r.lot_id IS NULL THEN 0.0::DOUBLE WHEN is_winner THEN 1.0 ELSE 0.5 END) AS rel_w, sum(CASE WHEN is_winner THEN 1.0::DOUBLE ELSE 0.5 END) AS any_w, count(*) FILTER (WHERE r.lot_id IS NOT NULL AND is_winner) AS rel_wins, count(*) FILTER (WHERE is_winner) AS cust_wins FROM own o2 LEFT JOIN rel r USING (query_id, lot_id) JOIN bids USING (lot_id) GROUP BY o2.query_id, inn),
 pb AS (SELECT bids.*, publish_date, start_price, platform FROM bids JOIN lots USING (lot_id) WHERE publish_date < DATE '{CUTOFF}'),
 pk AS (SELECT inn, kpp, row_number() OVER (PARTITION BY inn ORDER BY count(*) DESC, kpp) AS rn FROM pb WHERE kpp IS NOT NULL GROUP BY inn, kpp),
 pf AS (SELECT inn, count(DISTINCT lot_id) AS n_lots, count(DISTINCT lot_id) FILTER (WHERE platform = 'ESHOP') AS n_eshop, count(DISTINCT lot_id) FILTER (WHERE platform = 'GZ') AS n_aisgz, count(DISTINCT lot_id) FILTER (WHERE platform = 'ESHOP' AND is_winner) AS n_eshop_wins, median(start_price) AS med FROM pb GROUP BY inn),
@@ -292,6 +293,18 @@ _NORM = " + ".join(f"{w}::DOUBLE" + (" * CASE WHEN has_history THEN 1 ELSE 0 END
 _RANKED = f"""rk0 AS (SELECT f.*, level, round(({_SUM}) / (({_NORM}) / CASE level WHEN 'high' THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END), 9) AS raw FROM feat f JOIN conf USING (query_id)),
 ranked AS (SELECT *, round(raw * 100, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, inn) AS place FROM rk0)"""
 
+_SHARE = "least(coalesce(code_lots, 0) / n_lots::DOUBLE, 1.0::DOUBLE)"
+_REASONS = f""" SELECT query_id, inn, CAST(place AS INTEGER) AS place, concat_ws(' | ',
+  CASE WHEN rel_wins > 0 THEN 'Уже выигрывал у этого заказчика закупки этой категории: ' || rel_wins WHEN rel_w > 0 THEN 'Участвовал в закупках этого заказчика по этой категории' WHEN cust_wins > 0 THEN 'Уже работал с этим заказчиком (побед: ' || cust_wins || ')' END,
+  CASE WHEN em_parts > 0 THEN 'Похожие закупки (ESHOP): участвовал в ' || em_parts || ', победил в ' || em_wins || CASE WHEN comp_wins > 0 THEN ', из них при 2+ участниках — ' || comp_wins WHEN em_wins > 0 THEN '; во всех был единственным участником' ELSE '' END END,
+  CASE WHEN ais_wins > 0 THEN 'Победитель похожих процедур: ' || ais_wins || ' (GZ)' END,
+  CASE WHEN parts > 0 THEN 'Последняя похожая закупка — ' || last WHEN text IS NOT NULL THEN 'Участвовал в закупках с общими словами в названии, но близких по предмету среди них нет' END,
+  CASE WHEN customers > 1 THEN 'В похожих закупках работал с ' || customers || ' разными заказчиками' END,
+  CASE WHEN code_lots IS NOT NULL AND n_lots >= 10 AND {_SHARE} >= 0.4 THEN 'Профильный поставщик: ' || CAST(round({_SHARE} * 100) AS INTEGER) || '% его закупок — в этой категории'
+       WHEN code_lots IS NOT NULL AND n_lots >= 10 AND {_SHARE} < 0.1 THEN 'Универсальный поставщик: на эту категорию приходится ' || CAST(round({_SHARE} * 100) AS INTEGER) || '% его закупок' END,
+  CASE WHEN region = '01' THEN 'Стоит на учёте в домашнем регионе' WHEN region = '02' THEN 'Стоит на учёте в соседнем регионе' END,
+  CASE WHEN n_lots >= 20 THEN 'Всего закупок: ' || n_lots END) AS reasons FROM ranked WHERE place <= 20"""
+
 _VOTES = (
     f"ic AS (SELECT row_number() OVER () AS id, * FROM (SELECT product_name, substr(okpd2_code, 1, 8) AS code8, count(*) AS cnt FROM items WHERE okpd2_code IS NOT NULL AND length(product_name) > 2 GROUP BY ALL)), "
     + _index(f"SELECT id, unnest({tokens('product_name')}) AS term FROM ic", "SELECT count(*) AS n FROM ic", "x", MAX_DF)
@@ -338,6 +351,8 @@ ORACLES = {
     "rnp_penalty": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED, "pn AS (SELECT query_id, inn, place AS p0, CASE WHEN inn LIKE '%7' THEN round(score * 0.5, 1) ELSE score END AS score FROM ranked WHERE place <= 20)")
         + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p0) AS INTEGER) AS place, inn, score FROM pn",
     "confidence_level": with_(_SEARCH, _CONFIDENCE) + " SELECT query_id, level, n AS similar_lots, round(top, 2) AS top_similarity, coalesce(array_to_string(unmatched, ','), '') AS unmatched FROM conf",
+    "factor_contributions": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT query_id, inn, '{k}' AS factor, round(CAST(f_{k} AS DOUBLE) * {w}::DOUBLE * 100, 6) AS points FROM ranked WHERE place <= 20" for k, w in V.WEIGHTS.items()) + ") WHERE points > 0",
+    "reasons_text": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + _REASONS,
     "supplier_evidence": with_(_SEARCH, f"""ev AS (SELECT query_id, b.inn, id, row_number() OVER (PARTITION BY query_id, b.inn ORDER BY coalesce(l.customer_inn = c.customer_inn, false) DESC, is_winner DESC, sim DESC, id) AS rn
   FROM matched JOIN lots l ON l.lot_id = id JOIN bids b ON b.lot_id = id JOIN cards c USING (query_id) WHERE sim >= {V.SIMILAR_ENOUGH} AND match = 1.0)""") + " SELECT query_id, inn, array_to_string(list(id ORDER BY rn), ',') AS lots FROM ev WHERE rn <= 3 GROUP BY ALL",
     "new_company_scores": with_(REGISTRY_SQL, _SEARCH, _NEW) + " SELECT query_id, inn, okved5, local, round(match, 6) AS match, round(pool_score, 6) AS pool_score FROM news",
