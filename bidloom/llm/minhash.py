@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ WIDTH = 5
 BANDS, ROWS = 32, 7
 #: Hashes compared at a time, and the posterior probability of missing below which a pair is dropped.
 BATCH, MISS = 32, 1e-6
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= PERCENT * union, unless the caller names another threshold (with bands to suit it).
 PERCENT = 85
 #: Members of a band that are compared in one block.
 BLOCK = 1024
@@ -47,8 +49,31 @@ ROUNDS = (2, 8)
 
 _rng = np.random.default_rng(20240229)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TURN = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Scheme(NamedTuple):
+    """The threshold in per cent, and the bands by which pairs of that similarity meet."""
+
+    percent: int = PERCENT
+    bands: int = BANDS
+    rows: int = ROWS
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+    def fits(self, both, a, b):
+        """Whether sets of sizes a and b with so many common members are linked."""
+        return 100 * both >= self.percent * (a + b - both)
+
+
+@cache
+def factors(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors of the hashes, and of the values in each band."""
+    rng = np.random.default_rng(20240229)
+    rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64)
+    turn = rng.integers(1, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return turn, rng.integers(1, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -65,19 +90,20 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
         return np.unique(mix64(s))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], turn: np.ndarray) -> np.ndarray:
     """MinHash values of non-empty sets, a row for each."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(_TURN), len(sets)), np.uint32)
+    out = np.empty((len(turn), len(sets)), np.uint32)
     turned = np.empty_like(flat)
-    for k, a in enumerate(_TURN):
+    for k, a in enumerate(turn):
         np.multiply(flat, a, out=turned)
         np.minimum.reduceat(turned, starts, out=out[k])
     return out.T
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn, band = factors(scheme.bands, scheme.rows)
     for whole in batches:
         ids, marks, texts = whole.column("doc_id"), whole.column("mark"), whole.column("text")
         at = 0
@@ -87,13 +113,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets.append(shingle_hashes(texts[at + n].as_buffer().to_pybytes() if texts[at + n].is_valid else None))
                 size, n = size + len(sets[-1]), n + 1
             full = [s for s in sets if len(s)]
-            sig = np.zeros((n, len(_TURN)), np.uint8)
-            bands = np.zeros((n, BANDS), np.int64)
+            sig = np.zeros((n, scheme.hashes), np.uint8)
+            bands = np.zeros((n, scheme.bands), np.int64)
             some = np.array([len(s) > 0 for s in sets])
             if full:
-                values = signatures(full)
+                values = signatures(full, turn)
                 with np.errstate(over="ignore"):
-                    bands[some] = mix64((values.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND).sum(2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                    bands[some] = mix64((values.reshape(-1, scheme.bands, scheme.rows).astype(np.uint64) * band).sum(2) + np.arange(scheme.bands, dtype=np.uint64)).view(np.int64)
                     sig[some] = ((values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(24)
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -101,20 +127,20 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.slice(at, n), marks.slice(at, n), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([x or 0 for x in nodes], np.uint64).view(np.int64), mask=~some),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * scheme.bands), pa.array(bands.reshape(-1))),
                 ],
                 ["doc_id", "mark", "n", "node", "sig", "bands"],
             )
             at += n
 
 
-def needed_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
+def needed_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = BANDS * ROWS) -> list[tuple[int, int]]:
     """(hashes compared, matches needed to go on). With a uniform prior, the posterior probability of a match rate of at
     least p after m matches in n is P(Binomial(n + 1, p) <= m); a byte also matches by chance, one time in 256."""
     p = percent / 100
     p += (1 - p) / 256
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in [*range(BATCH, hashes, BATCH), hashes]:
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -134,25 +160,25 @@ def going_on(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> tupl
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    steps = needed_matches()
+def _bayes(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    steps = needed_matches(scheme.percent, hashes=scheme.hashes)
     for b in batches:
         alive, matches = going_on(_matrix(b.column("sig_a")), _matrix(b.column("sig_b")), steps)
         pick = pa.array(alive)
         yield pa.RecordBatch.from_arrays([b.column("a").take(pick), b.column("b").take(pick), pa.array(matches)], ["a", "b", "matches"])
 
 
-def _survivors(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _survivors(scheme: Scheme, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of a block pair: its place, the places of the later rows of other components whose signatures go on with its own, and their matches."""
-    steps = needed_matches()
+    steps = needed_matches(scheme.percent, hashes=scheme.hashes)
     sig, comp, n, block = _matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("comp", "n", "block"))
     apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
     for k in range(t.num_rows - 1):
         other = np.arange(k + 1, t.num_rows)
-        fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
+        fit = (comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= scheme.percent * np.maximum(n[other], n[k]))
         if apart:
             fit &= block[other] != block[k]
         other = other[fit]
@@ -160,13 +186,13 @@ def _survivors(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield k, other[alive], matches
 
 
-def _block(most: int):
+def _block(scheme: Scheme, most: int):
     """Surviving pairs of one block pair across components: the `most` most similar ones of each component; cut: whether there are more."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        found = [(np.full(len(o), k), o, m) for k, o, m in _survivors(t)]
+        found = [(np.full(len(o), k), o, m) for k, o, m in _survivors(scheme, t)]
         a, b, m = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         kept = np.zeros(len(a), bool)
         if len(a):
@@ -184,37 +210,41 @@ def _block(most: int):
     return run
 
 
-def _exact_block(t: pa.Table) -> pa.Table:
+def _exact_block(scheme: Scheme):
     """Links between components of one block pair, checked on the sets; pairs whose components have met meanwhile are skipped."""
-    t = t.combine_chunks()
-    node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in binary_list(t.column("set").combine_chunks())]
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    links = []
-    for k, other, matches in _survivors(t):
-        for j in other[np.argsort(-matches, kind="stable")].tolist():
-            if (p := find(comp[k])) != (q := find(comp[j])):
-                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-                if 100 * both >= PERCENT * (len(sets[k]) + len(sets[j]) - both):
-                    root[p] = q
-                    links.append((int(node[k]), int(node[j])))
-    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in binary_list(t.column("set").combine_chunks())]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        links = []
+        for k, other, matches in _survivors(scheme, t):
+            for j in other[np.argsort(-matches, kind="stable")].tolist():
+                if (p := find(comp[k])) != (q := find(comp[j])):
+                    both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if scheme.fits(both, len(sets[k]), len(sets[j])):
+                        root[p] = q
+                        links.append((int(node[k]), int(node[j])))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def _exact(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(binary_list(b.column("set_a")), binary_list(b.column("set_b")), strict=True):
             s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+            keep.append(scheme.fits(both, len(s), len(t)))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
@@ -232,13 +262,13 @@ def ends(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """doc_id, mark, n, node, sig, bands of each document, written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(_digest), f"doc_id {kind}, mark long, n long, node long, sig binary, bands array<long>"))
+    return written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(partial(_digest, scheme)), f"doc_id {kind}, mark long, n long, node long, sig binary, bands array<long>"))
 
 
-def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
+def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """node, component for the classes that are linked with another."""
     rows = digest.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
     ranked = F.col("node").bitwiseXOR(F.col("band"))
@@ -252,11 +282,11 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
     texts = attach(docs.select("doc_id", "text"), settle(classes.select("doc_id").distinct()), "doc_id", "inner", 2_000_000)
     sets = texts.mapInArrow(tidy(_sets), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
     sets = written(sets)
-    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(PERCENT) * F.greatest("n_a", "n_b")
-    check = lambda pairs: settle(ends(pairs, sets, ["set"]).mapInArrow(tidy(_exact), "a long, b long, linked boolean"))
+    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(scheme.percent) * F.greatest("n_a", "n_b")
+    check = lambda pairs: settle(ends(pairs, sets, ["set"]).mapInArrow(tidy(partial(_exact, scheme)), "a long, b long, linked boolean"))
 
     stars = members.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    near = settle(ends(stars, classes, ["n", "sig"]).filter(fits).mapInArrow(tidy(_bayes), "a long, b long, matches long"))
+    near = settle(ends(stars, classes, ["n", "sig"]).filter(fits).mapInArrow(tidy(partial(_bayes, scheme)), "a long, b long, matches long"))
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "matches"))
     best = both.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     tested = check(best)
@@ -279,7 +309,7 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
 
     signed = classes.select("node", "n", "sig")
     for most in ROUNDS:
-        across = settle(dealt(signed).groupBy("band", "i", "j").applyInArrow(_block(most), "band long, i long, j long, a long, b long, cut boolean"))
+        across = settle(dealt(signed).groupBy("band", "i", "j").applyInArrow(_block(scheme, most), "band long, i long, j long, a long, b long, cut boolean"))
         rest = check(settle(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")))
         links = links.union(rest.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         comps = components(links)
@@ -287,24 +317,25 @@ def linked_classes(docs: DataFrame, digest: DataFrame) -> DataFrame:
         left = settle(across.filter("cut").select("band", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).distinct())
         if not left.limit(1).count():
             return comps
-    last = settle(dealt(signed.join(sets, "node")).groupBy("band", "i", "j").applyInArrow(_exact_block, "u long, v long"))
+    last = settle(dealt(signed.join(sets, "node")).groupBy("band", "i", "j").applyInArrow(_exact_block(scheme), "u long, v long"))
     return components(links.union(last))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept: one row per input row."""
-    digest = digests(docs)
+    scheme = Scheme(percent, bands, rows)
+    digest = digests(docs, scheme)
     classes = digest.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
-    joined = settle(classes.join(linked_classes(docs, digest), "node", "left").filter("members > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
+    joined = settle(classes.join(linked_classes(docs, digest, scheme), "node", "left").filter("members > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
     found = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = settle(joined.join(found, "component").select("node", "component_id"))
     out = attach(digest.select("doc_id", "mark", "n", "node"), by_node, "node", "left", 500_000).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents without those that another of their component stands for; of rows with one id and text, one stays."""
-    found = settle(near_duplicates(docs))
+    found = settle(near_duplicates(docs, percent, bands, rows))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     marked = docs.withColumn("__text", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__mark"))

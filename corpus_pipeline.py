@@ -12,6 +12,10 @@ from bidloom.llm import minhash, mixing, pieces, toxicity
 from bidloom.llm.common import table, written
 
 
+#: The threshold of the near-duplicate stage and its bands: pairs of that similarity share none with a probability of about 4e-6.
+NEAR = {"percent": 80, "bands": 41, "rows": 6}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the rejection score; the lexicon is learned from the labelled ones among them."""
     return toxicity.clean_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -19,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, **NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,21 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert {d for d, _ in got} == {c if c is not None else d for d, _, c in want}
 
 
+def test_pipeline_drops_copies_from_eighty_per_cent_on(spark):
+    """Copies with changed first words, at similarities of 0.79 to 0.86."""
+    import corpus_pipeline
+
+    made, want = [], set()
+    for g, changed in enumerate((10, 11, 13, 14, 15, 16)):
+        words = [f"w{g}x{i}" for i in range(144)]
+        made += [(10 * g, " ".join(words), "s"), (10 * g + 1, " ".join([f"v{g}x{i}" for i in range(changed)] + words[changed:]), "s")]
+        want |= {10 * g} | ({10 * g + 1} if 100 * (140 - changed) < 80 * (140 + changed) else set())
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, rows(spark, made), "").collect()}
+    assert left == want and {30, 31} - left == {31} and {50, 51} <= left
+    linked = minhash.near_duplicates(rows(spark, made)).filter("not kept").collect()
+    assert {r.doc_id for r in linked} == {1, 11}
+
+
 def test_needed_matches_rise_with_the_hashes_compared():
     steps = minhash.needed_matches()
     assert [n for n, _ in steps][-1] == minhash.BANDS * minhash.ROWS
