@@ -6,7 +6,7 @@
    every class of it is compared with the hub. Signatures are compared a batch of hashes at a time; a pair goes on
    while the posterior probability that its similarity reaches the threshold (uniform prior) is at least MISS.
 3. Each class's most similar surviving hub is checked on the full sets, and components are formed.
-4. Bands that still hold several components are compared in blocks of bounded size, only across components. In rounds,
+4. Bands (of two classes too) that still hold several components are compared in blocks of bounded size, only across components. In rounds,
    each component of a block has its most similar surviving pairs checked on the full sets, more of them each time;
    between rounds components merge, and blocks with one component or no unchecked pair drop out. What is left then is
    few blocks with many pairs that survive by signature but not by set: these get the sets themselves and check every
@@ -293,7 +293,7 @@ def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()
     links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = components(links)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    sizes = settle(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 2"))
+    sizes = settle(members.groupBy("band").agg(F.count("*").alias("m")))
     left = None  # the blocks that may hold unchecked pairs
 
     def dealt(columns: DataFrame) -> DataFrame:

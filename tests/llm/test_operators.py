@@ -90,6 +90,28 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert {d for d, _ in got} == {c if c is not None else d for d, _, c in want}
 
 
+def test_minhash_checks_pairs_that_are_the_best_of_neither_end(spark):
+    """Chains C-A-B-D whose ends lie nearer to A and B than these to each other; few bands, so that A and B often share only bands of two."""
+    made = []
+    for g in range(150):
+        a = [f"w{g}x{i}" for i in range(124)]
+        b = [*[f"b{g}x{i}" for i in range(9)], *a[9:]]
+        c = [*a[:-4], *[f"c{g}x{i}" for i in range(4)]]
+        d = [*b[:60], f"d{g}", *b[61:]]
+        made += [(4 * g + k, " ".join(w), "s") for k, w in enumerate((a, b, c, d))]
+    bands = {r.doc_id: set(r.bands) for r in minhash.digests(rows(spark, made), minhash.Scheme(85, 6, 4)).collect()}
+    words = {d: t.split() for d, t, _ in made}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in words.items()}
+    want = {d: d for d in sets}
+    for _ in range(3):
+        for d in sets:
+            for e in range(d // 4 * 4, d // 4 * 4 + 4):
+                if bands[d] & bands[e] and 100 * len(sets[d] & sets[e]) >= 85 * len(sets[d] | sets[e]):
+                    want[d] = want[e] = min(want[d], want[e])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(rows(spark, made), 85, 6, 4).collect()}
+    assert got == want
+
+
 def test_pipeline_drops_copies_from_eighty_per_cent_on(spark):
     """Copies with changed first words, at similarities of 0.79 to 0.86."""
     import corpus_pipeline
