@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line or sentence, a template the word set of one license notice. Words of the templates are counted over
+A block is a line or sentence, or a sentence that runs over several lines of a paragraph (notices are often wrapped); of
+the latter, words count that stand within twice a template's length, since unrelated lines meet there. A template is the
+word set of one license notice. Words of the templates are counted over
 the whole corpus and ordered from rare to frequent. A block that holds at least THRESHOLD of a template's words must
 hold one of the template's first n - need + 1 words in that order (prefix filter), must have `need` words (length
 filter), and from the meeting point on both must have `need` words left (positional filter). What passes is verified.
@@ -23,6 +25,8 @@ from .common import table, written
 
 #: What stands between words, once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts lines and sentences, and what parts sentences whatever lines they run over.
+LINE, SENTENCE = r"[\n\r]+|[.!?]+(?=\s)", r"(?:\r\n?+|\n)[^\S\r\n]*[\r\n]\s*|[.!?]+(?=\s)"
 #: Phrases looked up as consecutive words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Share of a template's distinct words that a block must hold.
@@ -96,22 +100,28 @@ def contained_templates(docs: DataFrame, index: DataFrame, rank: dict[str, int],
     by_rank = [w for w, _ in sorted(rank.items(), key=lambda x: x[1])]
     vocabulary = F.array(*map(F.lit, by_rank))
     to_rank = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
+    part = lambda c, wrapped: F.transform(c, lambda x: F.struct(x.alias("block"), F.lit(wrapped).alias("wrapped")))
     blocks = (
         docs.withColumn("low", F.lower("text"))
         .filter(F.col("low").rlike(rf"(?:^|{GAP[:-1]})(?:{'|'.join(prefix)})(?:$|{GAP[:-1]})"))
-        .select("doc_id", "mark", F.explode(F.split("low", r"[\n\r]+|[.!?]+(?=\s)")).alias("block"))
+        .select("doc_id", "mark", F.inline(F.concat(part(F.split("low", LINE), False), part(F.filter(F.split("low", SENTENCE), lambda x: x.rlike(r"[\n\r]")), True))))
         .filter(F.col("block").rlike("|".join(prefix)))
-        .withColumn("known", F.array_intersect(F.split(spaced(F.col("block")), " "), vocabulary))
+        .withColumn("words", F.split(spaced(F.col("block")), " "))
+        .withColumn("known", F.array_intersect("words", vocabulary))
         .withColumn("held", F.array_sort(F.transform("known", lambda w: F.element_at(to_rank, w))))
-        .select("doc_id", "mark", "held", F.posexplode("held").alias("place", "rank"))
+        .withColumn("ordered", F.when(F.col("wrapped"), F.transform("words", lambda w: F.coalesce(F.element_at(to_rank, w), F.lit(-1)))))
+        .select("doc_id", "mark", "held", "ordered", F.posexplode("held").alias("place", "rank"))
     )
     need_left = F.least(F.col("n") - F.col("at"), F.size("held") - F.col("place")) >= F.col("need")
     overlap = F.size(F.array_intersect("ranks", "held"))
+    close = F.array_max(F.transform(F.sequence(F.lit(1), F.size("ordered")), lambda i: F.size(F.array_intersect("ranks", F.slice("ordered", i, F.col("n") * 2)))))
     return (
         blocks.join(F.broadcast(index), "rank")
         .filter((F.size("held") >= F.col("need")) & need_left)
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
+        .withColumn("overlap", F.when(F.col("ordered").isNull(), F.col("overlap")).otherwise(close))
+        .filter(F.col("overlap") >= F.col("need"))
         .groupBy("doc_id", "mark")
         .agg(F.collect_set("label").alias("added"), F.max(F.col("overlap") / F.col("n")).alias("containment"))
     )

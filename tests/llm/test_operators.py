@@ -390,6 +390,15 @@ def test_licenses_find_phrases_and_templates(spark):
     assert long[1:6] == (20_012, 1, 20_007, 20_007, "gpl") and "gpl-3.0" in long[6]
 
 
+def test_licenses_find_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy%sof this software and associated documentation files (the \"Software\"), to deal%sin the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or without%smodification, are permitted provided that the following conditions are met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any%spurpose with or without fee is hereby granted, provided that it stays."
+    made = [(1, "x = 1\n\n" + mit % ("\n", "\n"), "s"), (2, bsd % "\n# ", "s"), (3, isc % "\r\n * ", "s"), (4, bsd % "\n\n", "s"), (5, isc % " \n \t\r\n", "s"), (6, isc % ". ", "s"), (7, mit % (" ", " "), "s"), (8, "Ge mit " + "den der " * 10 + "\nLicensed under the Apache License, Version 2.0.", "s")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(rows(spark, made)).collect()}
+    assert got == {1: ("mit-text", 1.0), 2: ("bsd", 1.0), 3: ("isc", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("mit-text", 1.0), 8: ("apache-2.0", 1.0)}
+
+
 @pytest.mark.parametrize("name", ["mix", "mixed", "lm", "toxicity", "minhash", "without", "pieces", "licenses"])
 def test_empty_documents_give_empty_results(spark, name):
     df = rows(spark, [])
