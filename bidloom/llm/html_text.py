@@ -5,7 +5,9 @@ over the page; a path's ratio is the length per node, raised by punctuation and
 ratios, in page order, are smoothed by a Gaussian window and fused with those of paths that share ancestors. The content
 root is the element under which most of the fused mass lies (an article or main element where there is one), and every
 text block under it is kept, short ones too, except lists of links. Elements that are boilerplate by tag, role or class
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are never entered.
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out, except wrappers: one
+that holds the main element or most of the text that isn't a link, on pages without an article outside of it, is read, whatever its name. A class or id counts as a
+whole: "site-header" is boilerplate, "has-sidebar" and "entry-header" are not. A header inside an article belongs to it.
 
 Inside a block white space becomes one space; blocks are joined in page order by one space; character references are
 decoded. Broken markup is read as browsers do: unclosed paragraphs end at the next block, a tag cut off by the end of
@@ -44,6 +46,11 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 CUT_WORDS = re.compile(
     r"(?:ads?|adv|advert\w*|adsense|adbox|adslot|banners?|sponsor\w*|promo\w*|sidebars?|side|aside|menus?|nav|navbar|navigation|navs|footers?|headers?|masthead|topbar|cookies?|notices?|alerts?|consent|gdpr|disclaimer|newsletter|subscribe|subscription|popup|modal|overlay|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|breadcrumbs?|widgets?|login|signup|signin|search|searchbox|pagination|pager|toolbar|tags|tagcloud|hidden)"
 )
+#: What a boilerplate name may hold besides its words.
+QUALIFIERS = frozenset("site main page left right top bottom primary secondary global block box area section container wrapper wrap list bar link links inner outer post item title text".split())
+#: Boilerplate by tag that may be a wrapper; what else is cut by tag holds no text of the page. Names that are never one.
+WRAPPERS = frozenset("nav header footer aside form dialog menu".split())
+NEVER_WRAPPERS = re.compile(r"ads?|adv|advert\w*|adsense|adbox|adslot|banners?|sponsor\w*|promo\w*|newsletter|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|related|recommended|cookies?|consent|gdpr|popup|modal|overlay|hidden")
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody posttext story".split())
@@ -51,26 +58,32 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "cut", "link", "content", "listed", "mass", "depth", "children")
+    __slots__ = ("tag", "parent", "path", "cut", "soft", "firm", "inside", "link", "content", "listed", "mass", "depth", "children")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.mass, self.children = tag, parent, 0.0, []
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
-        names, role, hidden = [], "", False
+        names, whole, role, hidden = [], [], "", False
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 key = (m[1] or m[5] or "").lower()
                 value = m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    names += re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
+                    whole += [[x for x in re.split(r"[^a-z0-9]+", w) if x] for w in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split()]
+                    names = [x for w in whole for x in w]
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     hidden = True
         self.content = tag in CONTENT or role in ("main", "article") or bool(CONTENT_WORDS.intersection(names))
-        own = hidden or tag in CUT or role in CUT_ROLES or (tag not in NEVER_CUT and any(CUT_WORDS.fullmatch(n) for n in names))
-        self.cut = own or (parent.cut if parent else False)
+        named = [w for w in whole if any(map(CUT_WORDS.fullmatch, w)) and all(CUT_WORDS.fullmatch(x) or x in QUALIFIERS or x.isdigit() for x in w)] if tag not in NEVER_CUT else []
+        self.inside = tag in CONTENT or (parent.inside if parent else False)
+        own = tag in WRAPPERS and not (tag == "header" and self.inside) or role in CUT_ROLES or bool(named)
+        #: The innermost boilerplate element around (or this one), and whether that can't be a wrapper.
+        self.soft = self if own else parent.soft if parent else None
+        self.firm = own and (tag in ("nav", "footer", "aside") or any(NEVER_WRAPPERS.fullmatch(x) for w in named for x in w))
+        self.cut = hidden or tag in CUT - WRAPPERS or (parent.cut if parent else False)
         self.link = tag == "a" or (parent.link if parent else False)
         self.listed = tag in ("ul", "ol", "dl", "table") or (parent.listed if parent else False)
 
@@ -85,7 +98,7 @@ class Block:
 
 
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, link characters) of each block that isn't boilerplate, in page order."""
+    """(element, text, link characters) of each block, in page order."""
     root = Element("", None)
     stack, out, open_block = [root], [], None
     at, n = 0, len(page)
@@ -165,6 +178,34 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     return out
 
 
+def without_boilerplate(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """The blocks outside boilerplate elements, and those inside of wrappers."""
+    plain: dict[Element | None, int] = defaultdict(int)
+    read: set[Element | None] = {None}
+    for e, t, links in blocks:
+        plain[e.soft] += max(0, len(t) - links)
+        if e.soft is not None:
+            up = e
+            while up is not e.soft and up.tag != "main":
+                up = up.parent
+            if up is not e.soft:
+                read.add(e.soft)
+    firm = {}
+    for e in plain:
+        up, firm[e] = e, False
+        while up is not None:
+            firm[e] |= up.firm
+            up = up.parent.soft if up.parent else None
+    if not any(e.inside and e.soft is None for e, _, _ in blocks):
+        total = sum(n for e, n in plain.items() if not firm[e])
+        read |= {e for e, n in plain.items() if not firm[e] and 2 * n > total}
+    for e in list(read):
+        while e is not None:
+            read.add(e)
+            e = e.parent.soft if e.parent else None
+    return [b for b in blocks if b[0].soft in read]
+
+
 def shared(a: list[str], b: list[str]) -> float:
     """Share of the longer path that two paths have in common from the root."""
     k = 0
@@ -198,7 +239,7 @@ def ratios(blocks: list[tuple[Element, str, int]], window: int = 2) -> list[floa
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks = without_boilerplate(blocks_of(page or ""))
     if not blocks:
         return ""
     scores = ratios(blocks)

@@ -216,6 +216,25 @@ def test_html_drops_boilerplate_and_keeps_short_blocks(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+LONG = "It is a text, a good one, and it goes on. There is more of it, as one sees."
+
+
+@pytest.mark.parametrize("before, after", [('<div class="has-sidebar">', "</div>"), ('<div class="page-header-fixed no-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<form><div class="header">', "</div></form>"), ('<div class="sidebar"><main>', "</main></div>")])
+def test_html_reads_wrappers_with_names_of_boilerplate(before, after):
+    page = f'<body><nav><a href="/">Home</a></nav>{before}<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{after}<div class="comments"><p>{LONG * 9}</p></div><footer>foot</footer></body>'
+    assert html_text.main_text(page) == f"Title {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("name", ["ad", "widget", "site-header"])
+def test_html_drops_boilerplate_longer_than_the_article(name):
+    assert html_text.main_text(f'<body><div class="{name}"><p>{LONG}</p></div><article><p>Short.</p></article></body>') == "Short."
+
+
+def test_html_keeps_the_header_of_an_article():
+    page = f'<body><header><h1>Site</h1></header><div class="site-header">Name</div><article><header><h1>Title</h1></header><p>{LONG}</p><footer>foot</footer></article></body>'
+    assert html_text.main_text(page) == f"Title {LONG}"
+
+
 def test_urls_follow_rules_then_templates(spark):
     made = [(1, "http://A.example.org/es/5?x"), (2, "https://example.org/en/12"), (3, "https://notexample.org/es/1"), (4, "http://x.com/fr/1#a"), (5, "http://x.com/de/1"), (6, "http://net"), (7, None), (8, "nothing"), (9, "http://h.com?/fr/")]
     made += [(100 + i, f"http://bad.com/de/{i}") for i in range(30)] + [(200 + i, f"http://bad.com/de{'x' * (i % 2)}/a/{i}") for i in range(4)]
