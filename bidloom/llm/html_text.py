@@ -2,9 +2,10 @@
 
 A page is read into text nodes, each with its root-to-leaf tag path. Per path, text length and punctuation are summed
 over the page; a path's ratio is the length per node, raised by punctuation and lowered by the share of link text. The
-ratios, in page order, are smoothed by a Gaussian window and fused with those of paths that share ancestors. The content
-root is the element under which most of the fused mass lies (an article or main element where there is one), and every
-text block under it is kept, short ones too, except lists of links. Elements that are boilerplate by tag, role or class
+ratios, in page order, are smoothed by a Gaussian window and fused with those of paths that share ancestors. A block is kept
+where its ratio is at least LEAST of the page's mean, wherever it stands; and short ones where they lie between such
+blocks of one element, or under the element that holds most of the fused mass, or in any article, main or content element
+that holds some of it; except lists of links. Elements that are boilerplate by tag, role or class
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out, except wrappers: one
 that holds the main element or most of the text that isn't a link, on pages without an article outside of it, is read, whatever its name. A class or id counts as a
 whole: "site-header" is boilerplate, "has-sidebar" and "entry-header" are not. A header inside an article belongs to it.
@@ -54,11 +55,13 @@ NEVER_WRAPPERS = re.compile(r"ads?|adv|advert\w*|adsense|adbox|adslot|banners?|s
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody posttext story".split())
+#: Of the mean ratio, what a block needs.
+LEAST = 0.4
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "cut", "soft", "firm", "inside", "link", "content", "listed", "mass", "depth", "children")
+    __slots__ = ("tag", "parent", "path", "cut", "soft", "firm", "inside", "link", "content", "listed", "mass", "first", "last", "depth", "children")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.mass, self.children = tag, parent, 0.0, []
@@ -243,15 +246,16 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scores = ratios(blocks)
-    limit = 0.4 * sum(s * len(t) for s, (_, t, _) in zip(scores, blocks, strict=True)) / sum(len(t) for _, t, _ in blocks)
+    limit = LEAST * sum(s * len(t) for s, (_, t, _) in zip(scores, blocks, strict=True)) / sum(len(t) for _, t, _ in blocks)
     total, seen = 0.0, []
-    for s, (e, t, _) in zip(scores, blocks, strict=True):
+    for k, (s, (e, t, _)) in enumerate(zip(scores, blocks, strict=True)):
         if s >= limit:
             total += s * len(t)
             while e is not None:
                 if not e.mass:
                     seen.append(e)
-                e.mass += s * len(t)
+                    e.first = k
+                e.mass, e.last = e.mass + s * len(t), k
                 e = e.parent
     named = [e for e in seen if e.content and e.mass >= 0.5 * total]
     if named:
@@ -263,11 +267,15 @@ def main_text(page: str | None) -> str:
         while (best := max(root.children, key=lambda e: e.mass, default=None)) is not None and best.mass >= 0.75 * total and best.tag not in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre"):
             root = best
     kept = []
-    for e, t, links in blocks:
-        inside = e
-        while inside is not None and inside is not root:
-            inside = inside.parent
-        if inside is root and not (e.listed and links >= 0.8 * len(t)):
+    for k, (s, (e, t, links)) in enumerate(zip(scores, blocks, strict=True)):
+        if e.listed and links >= 0.8 * len(t):
+            continue
+        up, around = e, None
+        while up is not None and up is not root and not (up.content and up.mass):
+            if around is None and up.mass:
+                around = up
+            up = up.parent
+        if up is not None or s >= limit or around is not None and around.first < k < around.last:
             kept.append(t)
     return " ".join(kept)
 

@@ -235,6 +235,21 @@ def test_html_keeps_the_header_of_an_article():
     assert html_text.main_text(page) == f"Title {LONG}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article><h2>One</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article></body>",
+        f'<body><div class="entry-content"><h2>One</h2><p>{LONG}</p><p>{LONG}</p></div><div class="entry-content"><h2>Two</h2><p>{LONG}</p></div></body>',
+        f'<body><div><h2>One</h2><p class="text">{LONG} {LONG}</p><h2>Two</h2><p>{LONG}</p></div></body>',
+        f"<body><div><h2>One</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><h2>Two</h2><div><p>{LONG}</p></div></body>",
+        f'<body><div><h2>One</h2><p class="entry">{LONG} {LONG}</p></div><section><h2>Two</h2><p>{LONG}</p></section></body>',
+    ],
+)
+def test_html_keeps_all_parts_of_the_text(page):
+    got = html_text.main_text(page)
+    assert got.count(LONG) == page.count(LONG) and got.startswith("One It is")
+
+
 def test_urls_follow_rules_then_templates(spark):
     made = [(1, "http://A.example.org/es/5?x"), (2, "https://example.org/en/12"), (3, "https://notexample.org/es/1"), (4, "http://x.com/fr/1#a"), (5, "http://x.com/de/1"), (6, "http://net"), (7, None), (8, "nothing"), (9, "http://h.com?/fr/")]
     made += [(100 + i, f"http://bad.com/de/{i}") for i in range(30)] + [(200 + i, f"http://bad.com/de{'x' * (i % 2)}/a/{i}") for i in range(4)]
