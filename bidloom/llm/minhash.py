@@ -277,9 +277,10 @@ def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()
     members = settle(attach(rows, shared, "band", "inner", 500_000).select("band", "hub", "node").distinct())
     # What is needed of the classes in shared bands: size, signature, set.
     involved = settle(members.select("node").distinct())
-    some = attach(digest.select("doc_id", "n", "node", "sig"), involved, "node", "inner", 500_000)
-    classes = settle(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    texts = attach(docs.select("doc_id", "text"), settle(classes.select("doc_id").distinct()), "doc_id", "inner", 2_000_000)
+    row = lambda mark: F.xxhash64("doc_id", mark).alias("row")  # noqa: E731 - null ids have one too; rows that share it are only read besides
+    some = attach(digest.select(row("mark"), "n", "node", "sig"), involved, "node", "inner", 500_000)
+    classes = settle(some.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    texts = attach(docs.select(row(F.xxhash64("text")), "text"), settle(classes.select("row").distinct()), "row", "inner", 2_000_000)
     sets = texts.mapInArrow(tidy(_sets), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
     sets = written(sets)
     fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(scheme.percent) * F.greatest("n_a", "n_b")

@@ -81,6 +81,17 @@ def test_minhash_finds_links_through_large_groups(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(made)
 
 
+def test_minhash_links_rows_without_ids(spark):
+    """The classes of g and h have null ids only; an id has one of k's."""
+    made = []
+    for g in "ghk":
+        words = [f"{g}{i}" for i in range(120)]
+        made += [(None, " ".join(words), "s"), (7 if g == "k" else None, " ".join([*words[:-1], "x"]), "s")]
+    classes = minhash.linked_classes(df := rows(spark, made), minhash.digests(df)).collect()
+    assert len({r.node for r in classes}) == 6 and len({r.component for r in classes}) == 3
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()), key=str) == brute_components(made)
+
+
 def test_one_document_of_each_group_stays(spark, documents):
     left = minhash.without_near_duplicates(rows(spark, documents))
     assert left.columns == rows(spark, documents).columns
