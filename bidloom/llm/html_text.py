@@ -1,19 +1,24 @@
 """HTML extraction by tag-path ratios.
 
-A page is read into text nodes, each with its root-to-leaf tag path. Per path, text length and punctuation are summed
-over the page; a path's ratio is the length per node, raised by punctuation and lowered by the share of link text. The
-ratios, in page order, are smoothed by a Gaussian window and fused with those of paths that share ancestors. A block is kept
-where its ratio is at least LEAST of the page's mean, wherever it stands; and short ones where they lie between such
-blocks of one element, or under the element that holds most of the fused mass, or in any article, main or content element
-that holds some of it; except lists of links. Elements that are boilerplate by tag, role or class
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out, except wrappers: one
-that holds the main element or most of the text that isn't a link, on pages without an article outside of it, is read, whatever its name. A class or id counts as a
-whole: "site-header" is boilerplate, "has-sidebar" and "entry-header" are not. A header inside an article belongs to it.
+A page is read into blocks of text, each with its root-to-leaf tag path (tags with their class names). Per path, text
+length, punctuation and link text are summed over the page; the ratio of a path is its text per block and its punctuation
+per block, both on a logarithmic scale relative to the page's best path, times the share that is no link text. Ratios are
+smoothed in page order by a Gaussian window that weighs neighbours by how much of their path they share, and fused with
+what the names on the path say (menu, footer, advert, comments ...: a factor below one; article, main: above). The mean
+over a path's blocks is its value; paths whose value reaches LEAST of the page's best are content, wherever they stand.
+A short block of another path (headings, list items) is kept where its names are as good as the content's and it lies
+between content blocks of one element, or in the smallest element around nearly all content; lists of links aren't.
+
+Names never empty a wrapper: an element that holds the main element or most of the text that is no link, on pages without
+an article outside of it, is not judged by its name. A class or id counts as a whole: "site-header" is boilerplate,
+"has-sidebar" and "entry-header" are not. Only elements that hold no text of the page (scripts, styles, templates, form
+controls, the head) are left out before ratios are taken, and what is hidden.
 
 Inside a block white space becomes one space; blocks are joined in page order by one space; character references are
 decoded. Broken markup is read as browsers do: unclosed paragraphs end at the next block, a tag cut off by the end of
-the page is dropped. Defined cases: null and empty html give an empty text; a page without markup is one block; rows
-that repeat give repeated results; an empty table gives an empty result; only page_id, url and html are read.
+the page is dropped. Defined cases: null and empty html give an empty text; a page without markup is one block; a page
+all of links gives the blocks outside of lists; rows that repeat give repeated results; an empty table gives an empty
+result; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -42,54 +47,64 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - frozenset("br caption dd dt html body head li option optgroup tbody td tfoot th thead title tr".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-CUT = frozenset("script style nav header footer aside form noscript template iframe svg math canvas object head title textarea button select menu dialog audio video map datalist xmp noembed noframes applet".split())
+#: Elements that hold no text of the page.
+CUT = frozenset("script style noscript template iframe svg math canvas object head title textarea button select audio video map datalist xmp noembed noframes applet".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip note advertisement".split())
 CUT_WORDS = re.compile(
     r"(?:ads?|adv|advert\w*|adsense|adbox|adslot|banners?|sponsor\w*|promo\w*|sidebars?|side|aside|menus?|nav|navbar|navigation|navs|footers?|headers?|masthead|topbar|cookies?|notices?|alerts?|consent|gdpr|disclaimer|newsletter|subscribe|subscription|popup|modal|overlay|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|breadcrumbs?|widgets?|login|signup|signin|search|searchbox|pagination|pager|toolbar|tags|tagcloud|hidden)"
 )
 #: What a boilerplate name may hold besides its words.
 QUALIFIERS = frozenset("site main page left right top bottom primary secondary global block box area section container wrapper wrap list bar link links inner outer post item title text".split())
-#: Boilerplate by tag that may be a wrapper; what else is cut by tag holds no text of the page. Names that are never one.
+#: Boilerplate by tag that may be a wrapper; names that are never one.
 WRAPPERS = frozenset("nav header footer aside form dialog menu".split())
 NEVER_WRAPPERS = re.compile(r"ads?|adv|advert\w*|adsense|adbox|adslot|banners?|sponsor\w*|promo\w*|newsletter|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|related|recommended|cookies?|consent|gdpr|popup|modal|overlay|hidden")
+#: Elements that hold a single paragraph or heading.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote caption figcaption".split())
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTENT = frozenset(("article", "main"))
-CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody posttext story".split())
-#: Of the mean ratio, what a block needs.
-LEAST = 0.4
+#: Of the best path's value, what content needs; and the share of all content that the smallest element around it holds.
+LEAST, NEARLY_ALL = 0.3, 0.9
+#: Factors for names on a path: boilerplate that a wrapper may be named, boilerplate that none is, and the main element.
+NAMED, NEVER, MAIN = 0.1, 0.02, 2.0
+#: What a path without punctuation keeps of its ratio; blocks on either side that the window reaches.
+PLAIN, WINDOW = 0.35, 2
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "cut", "soft", "firm", "inside", "link", "content", "listed", "mass", "first", "last", "depth", "children")
+    __slots__ = ("tag", "parent", "step", "cut", "soft", "firm", "inside", "link", "listed", "mass", "first", "last")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
-        self.tag, self.parent, self.mass, self.children = tag, parent, 0.0, []
-        self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        names, whole, role, hidden = [], [], "", False
+        self.tag, self.parent, self.mass = tag, parent, 0.0
+        whole, role, hidden = [], "", False
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 key = (m[1] or m[5] or "").lower()
                 value = m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
                     whole += [[x for x in re.split(r"[^a-z0-9]+", w) if x] for w in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split()]
-                    names = [x for w in whole for x in w]
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     hidden = True
-        self.content = tag in CONTENT or role in ("main", "article") or bool(CONTENT_WORDS.intersection(names))
+        self.step = ".".join([tag, *sorted({x for w in whole for x in w if not x.isdigit()})])
         named = [w for w in whole if any(map(CUT_WORDS.fullmatch, w)) and all(CUT_WORDS.fullmatch(x) or x in QUALIFIERS or x.isdigit() for x in w)] if tag not in NEVER_CUT else []
-        self.inside = tag in CONTENT or (parent.inside if parent else False)
+        self.inside = tag in CONTENT or role in ("main", "article") or (parent.inside if parent else False)
         own = tag in WRAPPERS and not (tag == "header" and self.inside) or role in CUT_ROLES or bool(named)
         #: The innermost boilerplate element around (or this one), and whether that can't be a wrapper.
         self.soft = self if own else parent.soft if parent else None
         self.firm = own and (tag in ("nav", "footer", "aside") or any(NEVER_WRAPPERS.fullmatch(x) for w in named for x in w))
-        self.cut = hidden or tag in CUT - WRAPPERS or (parent.cut if parent else False)
+        self.cut = hidden or tag in CUT or (parent.cut if parent else False)
         self.link = tag == "a" or (parent.link if parent else False)
         self.listed = tag in ("ul", "ol", "dl", "table") or (parent.listed if parent else False)
 
+    def path(self) -> tuple[str, ...]:
+        steps, up = [], self
+        while up.parent is not None:
+            steps.append(up.step)
+            up = up.parent
+        return tuple(reversed(steps))
+
 
 class Block:
     """Text of one block, the element it stands in, and how much of it is link text."""
@@ -171,7 +186,6 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         if tag in VOID:
             continue
         element = Element(tag, stack[-1], m[3] or m[6] or "")
-        stack[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else n
@@ -181,10 +195,10 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     return out
 
 
-def without_boilerplate(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
-    """The blocks outside boilerplate elements, and those inside of wrappers."""
+def wrappers(blocks: list[tuple[Element, str, int]]) -> set[Element]:
+    """Boilerplate elements by name that hold the page's text."""
     plain: dict[Element | None, int] = defaultdict(int)
-    read: set[Element | None] = {None}
+    read: set[Element | None] = set()
     for e, t, links in blocks:
         plain[e.soft] += max(0, len(t) - links)
         if e.soft is not None:
@@ -206,76 +220,88 @@ def without_boilerplate(blocks: list[tuple[Element, str, int]]) -> list[tuple[El
         while e is not None:
             read.add(e)
             e = e.parent.soft if e.parent else None
-    return [b for b in blocks if b[0].soft in read]
+    return read - {None}
+
+
+def evidence(blocks: list[tuple[Element, str, int]]) -> list[float]:
+    """What the names around each block say of it."""
+    read = wrappers(blocks)
+    out = []
+    for e, _, _ in blocks:
+        factor, soft = MAIN if e.inside else 1.0, e.soft
+        while soft is not None:
+            if soft not in read:
+                factor *= NEVER if soft.firm else NAMED
+            soft = soft.parent.soft if soft.parent else None
+        out.append(factor)
+    return out
 
 
-def shared(a: list[str], b: list[str]) -> float:
-    """Share of the longer path that two paths have in common from the root."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
+def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Share of the elements around two blocks that they have in common, from the root; the leaves themselves don't count."""
+    k, n = 0, max(len(a), len(b))
+    while k < min(len(a), len(b)) - 1 and a[k] == b[k]:
         k += 1
-    return k / max(len(a), len(b), 1)
+    return (1 + k) / max(n, 1)
 
 
-def ratios(blocks: list[tuple[Element, str, int]], window: int = 2) -> list[float]:
-    """The fused, smoothed tag-path ratio of each block."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for e, text, links in blocks:
-        s = sums[e.path]
-        for k, v in enumerate((len(text), len(PUNCTUATION.findall(text)), links, 1)):
+def ratios(blocks: list[tuple[Element, str, int]], names: list[float]) -> list[float]:
+    """The value of each block's tag path: ratio, smoothed, fused with the names, averaged over the path's blocks."""
+    paths = [e.path() for e, _, _ in blocks]
+    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for p, (_, text, links) in zip(paths, blocks, strict=True):
+        s = sums[p]
+        for k, v in enumerate((len(text), len(PUNCTUATION.findall(text)), min(links, len(text)), 1)):
             s[k] += v
-    own = {p: math.log1p(c / k) * (1 + math.log1p(d / k)) * max(0.0, 1 - min(1.0, a / max(c, 1))) for p, (c, d, a, k) in sums.items()}
-    split = {p: p.split("/") for p in own}
-    fused = {}
-    for p in own:
-        weights = [(shared(split[p], split[q]) ** 2, v, math.sqrt(sums[q][0])) for q, v in own.items()]
-        fused[p] = sum(w * v * c for w, v, c in weights) / max(1e-9, sum(w * c for w, _, c in weights))
-    row = [0.5 * own[e.path] + 0.5 * fused[e.path] for e, _, _ in blocks]
-    kernel = [math.exp(-(d * d) / 2) for d in range(-window, window + 1)]
-    smooth = []
-    for k in range(len(row)):
-        near = [(kernel[d + window], row[k + d]) for d in range(-window, window + 1) if 0 <= k + d < len(row)]
-        smooth.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
-    return smooth
+    length = {p: math.log1p(c / n) for p, (c, _, _, n) in sums.items()}
+    marks = {p: math.log1p(d / n) for p, (_, d, _, n) in sums.items()}
+    longest, most = max(length.values()), max(marks.values()) or 1.0
+    ratio = {p: length[p] / longest * (PLAIN + (1 - PLAIN) * marks[p] / most) * (1 - sums[p][2] / sums[p][0]) for p in sums}
+    own = [ratio[p] * f for p, f in zip(paths, names, strict=True)]
+    values: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    for k, p in enumerate(paths):
+        total = weight = 0.0
+        for j in range(max(0, k - WINDOW), min(len(paths), k + WINDOW + 1)):
+            w = math.exp(-((j - k) ** 2) / 2) * likeness(p, paths[j]) ** 2
+            total, weight = total + w * own[j], weight + w
+        values[p].append(0.5 * own[k] + 0.5 * total / weight * min(1.0, names[k]))
+    mean = {p: sum(v) / len(v) for p, v in values.items()}
+    return [mean[p] for p in paths]
 
 
 def main_text(page: str | None) -> str:
-    blocks = without_boilerplate(blocks_of(page or ""))
+    blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    scores = ratios(blocks)
-    limit = LEAST * sum(s * len(t) for s, (_, t, _) in zip(scores, blocks, strict=True)) / sum(len(t) for _, t, _ in blocks)
-    total, seen = 0.0, []
-    for k, (s, (e, t, _)) in enumerate(zip(scores, blocks, strict=True)):
-        if s >= limit:
-            total += s * len(t)
+    names = evidence(blocks)
+    scores = ratios(blocks, names)
+    best = max(scores)
+    passes = [s >= LEAST * best for s in scores] if best > 0 else [n >= 1 and not e.listed for n, (e, _, _) in zip(names, blocks, strict=True)]
+    total = 0
+    for k, (yes, (e, t, _)) in enumerate(zip(passes, blocks, strict=True)):
+        if yes:
+            total += len(t)
             while e is not None:
                 if not e.mass:
-                    seen.append(e)
                     e.first = k
-                e.mass, e.last = e.mass + s * len(t), k
+                e.mass, e.last = e.mass + len(t), k
                 e = e.parent
-    named = [e for e in seen if e.content and e.mass >= 0.5 * total]
-    if named:
-        root = max(named, key=lambda e: (e.tag in CONTENT, e.mass, e.depth))
-    else:
-        root = blocks[0][0]
-        while root.parent is not None:
-            root = root.parent
-        while (best := max(root.children, key=lambda e: e.mass, default=None)) is not None and best.mass >= 0.75 * total and best.tag not in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre"):
-            root = best
+    clean = max((n for n, yes in zip(names, passes, strict=True) if yes), default=0.0)
+    up = next((e for yes, (e, _, _) in zip(passes, blocks, strict=True) if yes), None)
+    while up is not None and (up.mass < NEARLY_ALL * total or up.tag in LEAVES):
+        up = up.parent
+    root = up if up is not None and up.tag not in ("", "html", "body") else None
     kept = []
-    for k, (s, (e, t, links)) in enumerate(zip(scores, blocks, strict=True)):
-        if e.listed and links >= 0.8 * len(t):
+    for k, (yes, name, (e, t, links)) in enumerate(zip(passes, names, blocks, strict=True)):
+        if not yes and (2 * name < clean or e.listed and links >= 0.8 * len(t)):
             continue
-        up, around = e, None
-        while up is not None and up is not root and not (up.content and up.mass):
-            if around is None and up.mass:
-                around = up
+        up = e
+        while up is not None and not up.mass:
+            up = up.parent
+        around, up = up, e
+        while up is not None and up is not root:
             up = up.parent
-        if up is not None or s >= limit or around is not None and around.first < k < around.last:
+        if yes or around is not None and around.first < k < around.last or up is not None:
             kept.append(t)
     return " ".join(kept)
 
