@@ -1,11 +1,17 @@
 """URL filter: a tree of path templates per host, rejected by smoothed labelled purity.
 
-Segments that are numbers, ids or dates become shapes; of the rest, siblings under one node of a host's tree merge into a
-wildcard unless their share of blocked labels differs significantly from that of the others, as do siblings too many and too rare to be fixed parts of a site. Labels are
-the verdicts of the rule list, which cover part of the urls. A node's purity is its blocked share, shrunk towards its
-parent's, a host's towards the share of all labelled urls; a url that no rule judges is blocked where the purity of its
-template reaches LIMIT. All stages are DataFrame operations over counts of distinct shaped paths, so a host with a third
-of all urls is as many rows as it has shapes.
+Labels are the verdicts of the rule list, which cover part of the urls. A host's tree is opened from the root on wherever
+the labels under a node disagree, at the first level that tells them apart. Segments that are numbers, ids or dates, and
+those with less than RARE of a node's urls or fewer than LEAST of them, are variable: a wildcard. The others are at most
+1 / RARE of a node; those with LEAST labels are ordered by their share of blocked ones and part where neighbours in that
+order differ by APART standard errors or more; what lies between two such places is one branch, named by its segments, and
+those of which too little is known are another. A node that no level tells apart stays one: on levels passed over, and
+below the last, its fixed segments are alike and merge into one name. Every round of the loop parts labels, so there is no
+limit of depth and no round for levels that tell nothing.
+
+A node's purity is its blocked share, shrunk towards its parent's, a host's towards the share of all labelled urls; a url
+that no rule judges is blocked where the purity of its template reaches LIMIT. All stages are DataFrame operations over
+counts of distinct shaped paths, so a host with a third of all urls is as many rows as it has shapes.
 
 Defined cases: null urls and urls without "://" have empty host and path and are judged like any other host's; an empty
 table gives an empty result; repeated rows count as often as they stand; only page_id and url are read.
@@ -15,21 +21,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, attach, settle, table
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Levels of the tree; deeper segments count as one.
-DEPTH = 4
-#: A sibling stays apart from this difference on, in standard errors, and from so many labels on.
-APART, LEAST_LABELS = 2.58, 5
-#: Of more siblings than this, those with less than RARE of the node's urls become a wildcard.
-MOST_SIBLINGS, RARE = 64, 0.01
+#: Branches stay apart from this difference on, in standard errors; labels that a branch needs to be compared, and urls that a segment needs to be told from a variable one.
+APART, LEAST = 2.58, 5
+#: Of a node's urls, what a segment needs to be a fixed part of it.
+RARE = 0.01
 #: Pseudo-counts of the parent's purity, and the purity from which a template is rejected.
 SMOOTHING, LIMIT = 8.0, 0.5
+WILD = "*"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,40 +52,80 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits)
 
 
-def shaped(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with variable ones as shapes; those beyond `depth` joined into the last."""
+def shaped(path: Column) -> Column:
+    """The path's segments, those that hold numbers or ids as shapes."""
     shape = lambda s: reduce(lambda c, x: F.regexp_replace(c, *x), ((r"^[0-9a-fA-F]{8,}(-[0-9a-fA-F]{4,})*(?=\.|$)", "<id>"), (r"\d+", "<n>")), s)
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, 1 << 20), "/"))))
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
-def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def variable(part: Column) -> Column:
+    return part.contains("<n>") | part.contains("<id>")
+
+
+def shrunk(b: Column, n: Column, parent: Column) -> Column:
+    return (b + F.lit(SMOOTHING) * parent) / (n + F.lit(SMOOTHING))
+
+
+def rest() -> Column:
+    return F.slice("parts", F.col("level") + 1, F.greatest(F.size("parts") - F.col("level"), F.lit(0)))
+
+
+def fixed_parts(rows: DataFrame, parts: Column) -> DataFrame:
+    """template, at, part, n, b (blocked), l (labelled), mixed: segments that are fixed parts of their node."""
+    sums = [F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l")]
+    nodes = rows.groupBy("template").agg(*sums).select("template", F.col("n").alias("all_n"), ((F.col("b") > 0) & (F.col("b") < F.col("l"))).alias("mixed"))
+    seen = rows.select("template", "n", "blocked", "labelled", F.posexplode(parts).alias("at", "part")).filter(~variable(F.col("part"))).groupBy("template", "at", "part").agg(*sums)
+    return seen.filter(F.col("n") >= LEAST).join(nodes, "template").filter(F.col("n") >= F.lit(RARE) * F.col("all_n")).drop("all_n")
+
+
+def branches(rows: DataFrame) -> DataFrame:
+    """template, at, part, name: where a node's rest tells its labels apart, and the branch of each fixed segment there."""
+    fixed = fixed_parts(rows, rest()).filter("mixed").withColumn("known", F.col("l") >= LEAST)
+    order = Window.partitionBy("template", "at", "known").orderBy("share", "part")  # at most 1 / RARE rows
+    pooled = F.try_divide(F.col("b") + F.col("b0"), F.col("l") + F.col("l0"))
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), "l0")))
+    parted = F.coalesce(F.col("share") - F.try_divide("b0", "l0") > F.lit(APART) * error, F.lit(False))
+    placed = (
+        fixed.withColumn("share", F.when(F.col("known"), F.try_divide("b", "l"))).withColumn("b0", F.lag("b").over(order)).withColumn("l0", F.lag("l").over(order))
+        .withColumn("place", F.when(F.col("known"), F.sum(parted.cast("int")).over(order)).otherwise(-1))
+    )
+    found = placed.groupBy("template", "at", "place").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    first = placed.filter("place > 0").groupBy("template").agg(F.min("at").alias("at"))
+    return found.join(first, ["template", "at"]).select("template", "at", F.explode("parts").alias("part"), F.array_join("parts", "|").alias("name"))
+
+
+def extended(rows: DataFrame, upto: Column) -> DataFrame:
+    """Adds to each template the next `upto` segments of its rows: the merged fixed ones of the node, else a wildcard."""
+    rows = rows.withColumn("next", F.slice(rest(), F.lit(1), upto))
+    merged = fixed_parts(rows, F.col("next")).groupBy("template", "at").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    fixed = merged.groupBy("template").agg(F.map_from_entries(F.collect_list(F.struct("at", "parts"))).alias("fixed"))
+    named = attach(rows, settle(fixed), "template", "left")
+    names = F.transform("next", lambda s, i: F.when(F.array_contains(F.try_element_at("fixed", i), s), F.array_join(F.try_element_at("fixed", i), "|")).otherwise(WILD))
+    return named.withColumn("template", F.concat_ws("/", "template", F.when(F.col("fixed").isNull(), F.transform("next", lambda s: F.lit(WILD))).otherwise(names))).drop("next", "fixed")
+
+
+def templates(counts: DataFrame) -> DataFrame:
     """counts: host, parts, n, labelled, blocked. Returns host, parts, template, purity for each of them."""
     start = counts.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     overall = (start["b"] or 0) / start["l"] if start["l"] else 0.0
-    shrunk = lambda parent: (F.col("b") + F.lit(SMOOTHING) * parent) / (F.col("l") + F.lit(SMOOTHING))
-    hosts = counts.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select("host", shrunk(F.lit(overall)).alias("purity"))
-    state = settle(attach(counts, hosts, "host", "inner").withColumn("template", F.col("host")))
-    for level in range(depth):
-        state = state.withColumn("part", F.coalesce(F.try_element_at("parts", F.lit(level + 1)), F.lit("")))
-        children = state.groupBy("template", "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        nodes = children.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("l").alias("all_l"), F.count("*").alias("siblings"))
-        rest = F.col("all_l") - F.col("l")
-        pooled = F.try_divide("all_b", "all_l")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / rest))
-        gap = F.abs(F.col("b") / F.col("l") - (F.col("all_b") - F.col("b")) / rest)
-        distinct = F.when((F.col("l") >= LEAST_LABELS) & (rest > 0), F.coalesce(gap > F.lit(APART) * error, F.lit(False))).otherwise(F.lit(False))
-        crowded = (F.col("siblings") > MOST_SIBLINGS) & (F.col("n") < RARE * F.col("all_n"))
-        named = (
-            children.join(nodes, "template")
-            .withColumn("name", F.when(F.col("part") == "", "").when(distinct & ~crowded, F.col("part")).otherwise("*"))
-            .select("template", "part", "name")
-        )
-        moved = attach(state, settle(named), ["template", "part"], "inner").withColumn("template", F.when(F.col("name") == "", F.col("template")).otherwise(F.concat_ws("/", "template", "name")))
-        moved = settle(moved.drop("name", "part"))
-        found = moved.groupBy("template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.avg("purity").alias("parent"))
-        state = settle(attach(moved.drop("purity"), found.select("template", shrunk(F.col("parent")).alias("purity")), "template", "inner"))
-    return state.select("host", "parts", "template", "purity")
+    hosts = counts.groupBy("host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select("host", shrunk(F.col("b"), F.col("l"), F.lit(overall)).alias("purity"))
+    live = settle(attach(counts, hosts, "host", "inner").withColumn("template", F.col("host")).withColumn("level", F.lit(0)))
+    done = None
+    while True:
+        named = settle(branches(live))
+        nodes = settle(named.groupBy("template").agg(F.first("at").alias("at")))
+        closed = attach(live, nodes.select("template"), "template", "left_anti")
+        done = closed if done is None else done.unionByName(closed)
+        if not nodes.limit(1).count():
+            break
+        moved = attach(live, nodes, "template", "inner").withColumn("part", F.try_element_at(rest(), F.col("at") + 1))
+        moved = extended(attach(moved, named.drop("at"), ["template", "part"], "left"), F.col("at"))
+        moved = moved.withColumn("template", F.when(F.col("part").isNull(), F.concat("template", F.lit("/"))).otherwise(F.concat_ws("/", "template", F.coalesce("name", F.lit(WILD)))))
+        moved = settle(moved.withColumn("level", F.col("level") + F.col("at") + 1))
+        found = moved.groupBy("template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max("purity").alias("parent"))
+        found = settle(found.select("template", shrunk(F.col("b"), F.col("l"), F.col("parent")).alias("purity")))
+        live = settle(attach(moved.drop("purity"), found, "template", "inner").select(*live.columns))
+    return extended(settle(done), F.size(rest())).select("host", "parts", "template", "purity")
 
 
 def judge(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
@@ -92,7 +137,7 @@ def judge(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
             F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule.verdict") == "block").alias("blocked")
         )
     )
-    judged = attach(urls, templates(counts), ["host", "parts"], "inner")
+    judged = attach(urls, settle(templates(counts)), ["host", "parts"], "inner")
     return judged.select(
         "page_id", "host", "path", F.col("by_rule.rule").alias("rule"),
         F.coalesce("by_rule.verdict", F.when(F.col("purity") >= limit, "block").otherwise("allow")).alias("verdict"), "template", "purity",
