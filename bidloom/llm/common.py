@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where that is unset, a temporary one for this process."""
+    """The shared folder that the session names in spark.checkpoint.dir; where that is unset, a temporary one, which only a local master can use."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="bidloom-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -50,6 +53,22 @@ def attach(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "le
     return big.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
 
 
+def rekeyed(rows: DataFrame, clash: DataFrame | None, key: str = "node", check: str = "high") -> DataFrame:
+    """The rows with other keys where `clash` (see apart) says so."""
+    if clash is None:
+        return rows
+    other = F.col("__low").isNotNull() & (F.col(check) != F.col("__low"))
+    return rows.join(F.broadcast(clash), key, "left").withColumn(key, F.when(other, F.xxhash64(key, check)).otherwise(F.col(key))).drop("__low")
+
+
+def apart(rows: DataFrame, key: str = "node", check: str = "high") -> DataFrame | None:
+    """Keys that rows with different checks share, with the check that keeps the key; None if there are none, as nearly always.
+
+    After rekeyed, rows share a key only if both 64-bit hashes, key and check, are equal."""
+    clash = settle(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(check).alias("__low"), F.max(check).alias("__top")).filter("__low != __top").select(key, "__low"))
+    return clash if clash.limit(1).count() else None
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other character."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,14 +1,17 @@
 """Mixing sources to target weights with hash-threshold histograms, in DataFrame operations only.
 
-Each document has a fixed 60-bit hash. A source that must give T of its S words gives every document floor(T / S) times
+Each document has a fixed 60-bit hash of its id and text. A source that must give T of its S words gives every document floor(T / S) times
 and once more those documents whose hash lies below a threshold. The threshold comes from histograms: words summed by
 source and hash bucket, the bucket in which the running sum crosses the remaining budget found, and only that bucket
 refined with the next bits. Nothing is sorted by hash and the filter is one comparison; a larger target of the same
 source takes a superset (nested budgets).
 
+Rows equal in id and text share their hash. Where the threshold falls among them, it is refined further by the bits of
+their row numbers, so that as many of them go in as the budget holds; which of them makes no difference to the result.
+
 Defined cases: null text has size 0; a null source is a source of its own, last in order; null ids hash as the empty
-string; rows with one id share their hash and go together (each counts); an empty table gives an empty result; a source
-without words gets target 0 and gives nothing; columns beside doc_id, text and source are not touched.
+string, and as such together with the text; rows that repeat are taken one by one; an empty table gives an empty result; a
+source without words gets target 0 and gives nothing; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -24,11 +27,17 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Bits of the hash that one histogram resolves, and of the whole hash.
 STEP_BITS, HASH_BITS = 12, 60
+#: Bits of row numbers.
+SALT_BITS = 60
+
+
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the id's MD5 as a long."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def source_key(source: Column) -> Column:
+    return F.struct(source.isNull(), F.coalesce(source, F.lit("")))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -62,65 +71,87 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     )
 
 
-def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """rank, whole (times every document goes in), edge (documents with a hash below it go in once more)."""
-    state = goals.select(
-        "rank",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
-        F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0).alias("left"),
-        F.lit(0).cast("long").alias("low"),
-    )
-    for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
+def refined(state: DataFrame, rows: DataFrame, code: str, bits: int) -> DataFrame:
+    """Finds the value of `code` at which a source's budget `left` runs out, histogram by histogram.
+
+    state: rank, left, low. Returns rank, left (of the budget within that value), low (the value; the old one where the
+    budget isn't reached), edge_words and edge_rows (words and rows that have the value; null where it isn't reached)."""
+    for shift in range(bits - STEP_BITS, -1, -STEP_BITS):
         width = 1 << shift
         # low: start of the boundary bucket found so far; only documents inside it are counted again.
-        inside = attach(sizes.select("rank", "size", "hash"), state.select("rank", "low", "left"), "rank", "inner")
-        if shift < HASH_BITS - STEP_BITS:
-            inside = inside.filter((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + (width << STEP_BITS)))
-        bins = inside.groupBy("rank", F.shiftright("hash", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+        inside = attach(rows.select("rank", "size", code), state.select("rank", "low", "left"), "rank", "inner")
+        if shift < bits - STEP_BITS:
+            inside = inside.filter((F.col(code) >= F.col("low")) & (F.col(code) < F.col("low") + F.lit(width << STEP_BITS)))
+        bins = inside.groupBy("rank", F.shiftright(code, shift).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.max("left").alias("left"))
         running = Window.partitionBy("rank").orderBy("bin")
         crossed = (
             bins.withColumn("upto", F.sum("words").over(running))
             .filter(F.col("upto") > F.col("left"))
-            .groupBy("rank").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "words"), "bin").alias("at"))
+            .groupBy("rank").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "words", "rows"), "bin").alias("at"))
         )
         state = settle(
             state.join(crossed, "rank", "left").select(
-                "rank", "whole",
-                (F.col("left") - F.coalesce(F.col("at.before"), F.lit(0))).alias("left"),
+                "rank", (F.col("left") - F.coalesce(F.col("at.before"), F.lit(0))).alias("left"),
                 F.when(F.col("at").isNull(), F.col("low")).otherwise(F.col("at.bin") * F.lit(width)).alias("low"),
-                F.col("at.words").alias("edge_words"),
+                F.col("at.words").alias("edge_words"), F.col("at.rows").alias("edge_rows"),
             )
         )
+    return state
+
+
+def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """rank, whole (times every document goes in), edge, edge_salt: documents below them (by hash, then row number) go in once more."""
+    some = F.col("source_size") > 0
+    whole = F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    left = F.when(some, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0)
+    goals = goals.select("rank", whole.alias("whole"), left.alias("left"), F.lit(0).cast("long").alias("low"))
+    state = refined(goals.drop("whole"), sizes, "hash", HASH_BITS)
     # The document on the edge goes in if that brings the source nearer to its target.
-    return state.select("rank", "whole", F.when(F.coalesce(F.col("edge_words"), F.lit(0)) < 2 * F.col("left"), F.col("low") + 1).otherwise(F.col("low")).alias("edge"))
+    nearer = F.coalesce(F.col("edge_words"), F.lit(0)) < 2 * F.col("left")
+    found = state.withColumn("edge_salt", F.when(nearer, F.lit((1 << 63) - 1)).otherwise(F.lit(0)).cast("long"))
+    several = state.filter("edge_rows > 1")
+    if several.limit(1).count():
+        equal = attach(sizes, several.select("rank", F.col("low").alias("hash")), ["rank", "hash"], "inner")
+        fine = refined(several.select("rank", "left", F.lit(0).cast("long").alias("low")), equal, "salt", SALT_BITS)
+        fine = fine.select("rank", (F.col("low") + nearer.cast("long")).alias("fine"))
+        found = found.join(fine, "rank", "left").withColumn("edge_salt", F.coalesce("fine", "edge_salt"))
+    return goals.select("rank", "whole").join(found.select("rank", F.col("low").alias("edge"), "edge_salt"), "rank")
+
+
+def times(hash_: Column, salt: Column, whole: Column, edge: Column, edge_salt: Column) -> Column:
+    return whole + ((hash_ < edge) | ((hash_ == edge) & (salt < edge_salt))).cast("long")
+
+
+def hashed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, hash and salt (the row number) of each document, and `more`."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"), F.monotonically_increasing_id().alias("salt"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """doc_id, size, source, source_size, target, copies (how often the mix takes the document), one row per input row."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), id_hash(F.col("doc_id")).alias("hash"))
-    sizes = settle(sizes)
+    sizes = settle(hashed(docs))
     goals = settle(targets(sizes, weights, repeats))
-    ranked = attach(sizes.withColumn("key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))),
-                    goals.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key"), "rank", "source_size", "target"), "key", "inner").drop("key")
-    edges = thresholds(ranked, goals)
-    return attach(ranked, edges, "rank", "inner").select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("whole") + (F.col("hash") < F.col("edge")).cast("long")).alias("copies"), "hash", "edge", "whole"
-    )
+    keyed = goals.select(source_key(F.col("source")).alias("key"), "rank", "source_size", "target")
+    ranked = attach(sizes.withColumn("key", source_key(F.col("source"))), keyed, "key", "inner").drop("key")
+    edges = settle(thresholds(ranked, goals))
+    copies = times(F.col("hash"), F.col("salt"), F.col("whole"), F.col("edge"), F.col("edge_salt"))
+    return attach(ranked, edges, "rank", "inner").select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), "hash", "edge", "whole")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with their columns.
 
-    Only rows whose decision is "not at all" or "more than once" differ from the input; the decision is joined as the
-    thresholds of the source (one row per source), so texts are not shuffled."""
-    sizes = settle(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), id_hash(F.col("doc_id")).alias("hash")))
+    The decision is joined as the thresholds of the source (one row per source), so texts are not shuffled; row numbers are
+    those of the scan, which must deal out the table alike both times it is read."""
+    sizes = settle(hashed(docs).drop("doc_id"))
     goals = settle(targets(sizes, weights, repeats))
-    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    ranked = attach(sizes.withColumn("__key", key), goals.select(key.alias("__key"), "rank"), "__key", "inner")
-    edges = settle(goals.select(key.alias("__key"), "rank").join(thresholds(ranked, goals), "rank").select("__key", F.col("edge").alias("__edge"), F.col("whole").alias("__whole")))
-    times = F.col("__whole") + (id_hash(F.col("doc_id")) < F.col("__edge")).cast("long")
-    taken = attach(docs.withColumn("__key", key), edges, "__key", "inner").withColumn("__times", times).filter(F.col("__times") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    keyed = goals.select(source_key(F.col("source")).alias("key"), "rank")
+    ranked = attach(sizes.withColumn("key", source_key(F.col("source"))), keyed, "key", "inner")
+    edges = settle(keyed.join(thresholds(ranked, goals), "rank").drop("rank"))
+    marked = hashed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", source_key(F.col("source")))
+    taken = attach(marked, edges, "key", "inner").withColumn("times", times(F.col("hash"), F.col("salt"), F.col("whole"), F.col("edge"), F.col("edge_salt"))).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +161,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM s0),
