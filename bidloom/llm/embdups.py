@@ -2,7 +2,8 @@
 
 A hash function turns a unit vector by three rounds of random signs and a fast Hadamard transform and takes the nearest
 of the 2 D corners of the cross-polytope. FUNCTIONS of them name a bucket of one of TABLES tables; a vector also goes to
-the buckets in which one function takes its second-nearest corner. Equal vectors of one label are one class.
+the buckets in which one function takes its second-nearest corner. Equal vectors of one label are one class,
+told apart by 128 bits.
 
 Candidates are never listed pair by pair: in each bucket every class is verified against the bucket's hub (random per
 bucket), the links form components, and buckets that still hold several components are compared in blocks of bounded
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, mix64, settle, table
+from .common import apart, attach, mix64, rekeyed, settle, table
 from .graph import components
 from .vectors import matrix, unit, usable
 
@@ -90,12 +91,16 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one label and length whose cosine reaches the threshold."""
+    """Pairs of one length whose cosine reaches the threshold."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("vector_a").to_pylist(), b.column("vector_b").to_pylist(), strict=True):
-            keep.append(len(x) == len(y) and float(unit(np.array([x], float))[0] @ unit(np.array([y], float))[0]) >= COSINE)
-        mask = pa.array(keep, pa.bool_())
+        a, c = b.column("vector_a"), b.column("vector_b")
+        sizes = np.array([a.value_lengths().to_numpy(), c.value_lengths().to_numpy()]).reshape(2, -1)
+        keep = np.zeros(b.num_rows, bool)
+        for d in np.unique(sizes[0][sizes[0] == sizes[1]]):
+            at = np.flatnonzero((sizes[0] == d) & (sizes[1] == d))
+            pick = pa.array(at)
+            keep[at] = (unit(matrix(a.take(pick))) * unit(matrix(c.take(pick)))).sum(1) >= COSINE
+        mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["u", "v"])
 
 
@@ -149,7 +154,8 @@ def dealt(members: DataFrame, key: str, sizes: DataFrame, block: int = BLOCK) ->
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
     rows = vectors.select("vec_id", "embedding", F.col("label").alias("label")).withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull())
-    rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", "embedding")))
+    rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", "embedding"))).withColumn("high", F.xxhash64(F.lit(7), "embedding", "label"))
+    rows = rekeyed(rows, apart(rows.select("node", "high")))
     classes = settle(
         rows.filter("ok").groupBy("node").agg(
             F.min("vec_id").alias("least"), F.count("*").alias("members"), F.first("embedding").alias("vector"), F.first(F.xxhash64("label")).alias("label_key"), F.first(F.size("embedding")).alias("size")
@@ -176,8 +182,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sizes = settle(comps.groupBy("component").agg(F.count("*").alias("m")))
     inside = dealt(comps, "component", sizes).join(classes.select("node", "vector", "label_key", "size", "members"), "node")
     counted = inside.groupBy("component", "i", "j").applyInArrow(_counted, "node long, n long").groupBy("node").agg(F.sum("n").alias("others"))
-    least = comps.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = comps.join(least, "component").join(counted, "node").select("node", "component_id", "others")
+    least = settle(comps.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id")))
+    linked = attach(comps, least, "component", "inner", 500_000).join(counted, "node").select("node", "component_id", "others")
     found = settle(
         classes.join(linked, "node", "left").filter("members > 1 or others is not null")
         .select("node", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))

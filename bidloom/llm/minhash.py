@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands for candidates, sequential Bayesian verification, exact check of survivors.
 
 1. One pass over the texts makes, per document, the number of distinct five-word shingles, a hash of that set (its
-   class: documents with equal sets), BANDS band hashes and a signature of one byte per hash.
+   class: documents with equal sets, told apart by 128 bits), BANDS band hashes and a signature of one byte per hash.
 2. Bands that hold two classes or more give candidates without listing pairs: each band has a hub (random per band), and
    every class of it is compared with the hub. Signatures are compared a batch of hashes at a time; a pair goes on
    while the posterior probability that its similarity reaches the threshold (uniform prior) is at least MISS.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, binary_list, mix64, settle, slices, table, tidy, written
+from .common import apart, attach, binary_list, mix64, rekeyed, settle, slices, table, tidy, written
 from .graph import components
 
 WIDTH = 5
@@ -90,6 +90,13 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
         return np.unique(mix64(s))
 
 
+def names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit hashes of each set; null for empty ones."""
+    whole = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
+    empty = np.array([not len(s) for s in sets], bool)
+    return [pa.array(np.array([(x >> shift) & 0xFFFFFFFFFFFFFFFF for x in whole], np.uint64).view(np.int64), mask=empty) for shift in (0, 64)]
+
+
 def signatures(sets: list[np.ndarray], turn: np.ndarray) -> np.ndarray:
     """MinHash values of non-empty sets, a row for each."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -121,15 +128,14 @@ def _digest(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
                 with np.errstate(over="ignore"):
                     bands[some] = mix64((values.reshape(-1, scheme.bands, scheme.rows).astype(np.uint64) * band).sum(2) + np.arange(scheme.bands, dtype=np.uint64)).view(np.int64)
                     sig[some] = ((values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(24)
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(at, n), marks.slice(at, n), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([x or 0 for x in nodes], np.uint64).view(np.int64), mask=~some),
+                    *names(sets),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * scheme.bands), pa.array(bands.reshape(-1))),
                 ],
-                ["doc_id", "mark", "n", "node", "sig", "bands"],
+                ["doc_id", "mark", "n", "node", "high", "sig", "bands"],
             )
             at += n
 
@@ -251,8 +257,7 @@ def _exact(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (part for whole in batches for part in slices(whole, 1000)):
         sets = [s for s in map(shingle_hashes, binary_list(b.column("text"))) if len(s)]
-        nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+        yield pa.RecordBatch.from_arrays([*names(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "high", "set"])
 
 
 def ends(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
@@ -262,13 +267,15 @@ def ends(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def digests(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """doc_id, mark, n, node, sig, bands of each document, written to the shared folder."""
+def digests(docs: DataFrame, scheme: Scheme = Scheme()) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, mark, n, node, sig, bands of each document, written to the shared folder; and what rekeyed needs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(partial(_digest, scheme)), f"doc_id {kind}, mark long, n long, node long, sig binary, bands array<long>"))
+    out = written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(partial(_digest, scheme)), f"doc_id {kind}, mark long, n long, node long, high long, sig binary, bands array<long>"))
+    clash = apart(out.select("node", "high"))
+    return rekeyed(out, clash), clash
 
 
-def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+def linked_classes(docs: DataFrame, digest: DataFrame, clash: DataFrame | None = None, scheme: Scheme = Scheme()) -> DataFrame:
     """node, component for the classes that are linked with another."""
     rows = digest.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
     ranked = F.col("node").bitwiseXOR(F.col("band"))
@@ -281,7 +288,7 @@ def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()
     some = attach(digest.select(row("mark"), "n", "node", "sig"), involved, "node", "inner", 500_000)
     classes = settle(some.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     texts = attach(docs.select(row(F.xxhash64("text")), "text"), settle(classes.select("row").distinct()), "row", "inner", 2_000_000)
-    sets = texts.mapInArrow(tidy(_sets), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    sets = rekeyed(texts.mapInArrow(tidy(_sets), "node long, high long, set binary"), clash).groupBy("node").agg(F.first("set").alias("set"))
     sets = written(sets)
     fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(scheme.percent) * F.greatest("n_a", "n_b")
     check = lambda pairs: settle(ends(pairs, sets, ["set"]).mapInArrow(tidy(partial(_exact, scheme)), "a long, b long, linked boolean"))
@@ -325,11 +332,11 @@ def linked_classes(docs: DataFrame, digest: DataFrame, scheme: Scheme = Scheme()
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept: one row per input row."""
     scheme = Scheme(percent, bands, rows)
-    digest = digests(docs, scheme)
+    digest, clash = digests(docs, scheme)
     classes = digest.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
-    joined = settle(classes.join(linked_classes(docs, digest, scheme), "node", "left").filter("members > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
-    found = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = settle(joined.join(found, "component").select("node", "component_id"))
+    joined = settle(classes.join(linked_classes(docs, digest, clash, scheme), "node", "left").filter("members > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
+    found = settle(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    by_node = settle(attach(joined, found, "component", "inner", 500_000).select("node", "component_id"))
     out = attach(digest.select("doc_id", "mark", "n", "node"), by_node, "node", "left", 500_000).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -337,15 +344,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents without those that another of their component stands for; of rows with one id and text, one stays."""
     found = settle(near_duplicates(docs, percent, bands, rows))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__mark"))
-    gone = settle(gone)
+    gone = settle(found.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("mark").alias("its_mark")).distinct())
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("its_mark"))
     left = marked.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")
-    again = settle(found.filter("kept and n_shingles > 0").groupBy("doc_id", "mark").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    again = settle(found.filter("kept and n_shingles > 0").groupBy("doc_id", "mark").count().filter("count > 1").select(F.col("doc_id").alias("id"), F.col("mark").alias("its_mark")))
     if again.limit(1).count():
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text"]))
-    return left.select(*docs.columns)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "mark"]))
+    return left.select("row.*")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
