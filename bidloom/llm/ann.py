@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample, the neighbour graph is cut into PARTS balanced parts with few edges between them, and a softmax
-classifier learns to tell a vector's part (its targets are the parts of its neighbours). Every row of the table goes to
-its most probable part, every query to its `probes` most probable ones, where all vectors are reranked by exact double
-distances. The number of probes is the least with which RECALL of the sample's own neighbours are found.
+On a bounded sample, the neighbour graph is cut into balanced parts with few edges between them, and a softmax classifier
+learns to tell a vector's part (its targets are the parts of its neighbours). Every row of the table goes to its most
+probable part, every query to its `probes` most probable ones, where all vectors are reranked by exact double distances.
+The number of probes is the least with which RECALL of the sample's own neighbours are found; a warning says so where
+that takes all parts. The number of parts follows the table (ROWS_PER_PART), from PARTS up to MOST_PARTS, and the sample
+follows the parts.
 
 Parts are cut into chunks and queries into blocks of bounded size, so that no task holds a whole part, however many
 equal vectors it has. A query that finds fewer than it should is searched again in all parts. Only the classifier is
 broadcast.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
-length than most; a query is never its own neighbour, nor are rows that repeat its id; queries that repeat are answered
-once; equal distances go by the smaller vec_id; an empty table gives an empty result.
+Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of another length
+than most have a part for each length, where all are compared; a query is compared with every row but its own, rows that
+repeat its id included; of rows with one id that are queries, the least vector asks; equal distances go by the smaller
+vec_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,9 +30,11 @@ from .common import settle, table
 from .vectors import matrix, usable
 
 NEIGHBOURS = 10
-SAMPLE, PARTS, RECALL = 4096, 16, 0.97
+#: Sample rows at least and at most, and parts.
+SAMPLE, MOST_SAMPLED, PARTS, MOST_PARTS, ROWS_PER_PART = 4096, 16_384, 16, 256, 20_000
+RECALL = 0.97
 #: Vectors and queries of one part that meet in one task.
-CHUNK, QUERY_BLOCK = 20_000, 2_000
+CHUNK, QUERY_BLOCK = 20_000, 10_000
 
 
 def nearest(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
@@ -110,6 +117,8 @@ class Router:
         np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(order), 0), 1)
         needed = np.take_along_axis(rank, home[graph], 1)
         self.probes = next(p for p in range(1, parts + 1) if (needed < p).mean() >= recall)
+        if self.probes == parts:
+            warnings.warn(f"a recall of {recall} takes all {parts} parts: these vectors hold no partition, every row is compared", stacklevel=2)
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([(x - self.centre) / self.scale * 4, np.ones((len(x), 1))])
@@ -129,6 +138,7 @@ def search_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     if not queries.num_rows or not vectors.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     qid, vid = queries.column("query_id").to_numpy(), vectors.column("vec_id").to_numpy()
+    own, row_of = queries.column("row").to_numpy(), vectors.column("row").to_numpy()
     q, x = matrix(queries.column("query")), matrix(vectors.column("vector"))
     squares = (x * x).sum(1)
     slack = 1e-9 * (squares.max() + (q * q).sum(1))
@@ -137,32 +147,40 @@ def search_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
         rough = squares[None, :] - 2 * q[start : start + 256] @ x.T
         for i, row in enumerate(rough, start):
             kth = np.partition(row, min(k, len(row) - 1))[min(k, len(row) - 1)]  # one more than k: the query itself may be there
-            near = np.flatnonzero((row <= kth + slack[i]) & (vid != qid[i]))
+            near = np.flatnonzero((row <= kth + slack[i]) & (row_of != own[i]))
             exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
             best = np.lexsort((vid[near], exact))[:k]
             out.append((np.full(len(best), qid[i]), vid[near[best]], exact[best]))
     return pa.table({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, sample: int | None = None, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("vector") == lengths["size"])
-    taken = np.array([r["vector"] for r in rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()], float)
+    size = lengths["size"]
+    parts = parts or min(MOST_PARTS, max(PARTS, 1 << (lengths["count"] // ROWS_PER_PART).bit_length()))
+    sample = sample or min(MOST_SAMPLED, max(SAMPLE, 64 * parts))
+    taken = np.array([r["vector"] for r in rows.filter(F.size("vector") == size).select("vector", F.xxhash64("vec_id", "vector").alias("h")).orderBy("h").limit(sample).collect()], float)
     shared = spark.sparkContext.broadcast(Router(taken.reshape(len(taken), -1), parts, recall, k))
 
     def routed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.order(matrix(b.column("vector"))).tolist(), pa.list_(pa.int32()))] if b.num_rows else [*b.columns, pa.array([], pa.list_(pa.int32()))], ["vec_id", "vector", "parts"])
+            lists, held = b.column("vector").value_lengths().to_numpy(), [None] * b.num_rows
+            usual = np.flatnonzero(lists == size)
+            for i, order in zip(usual, shared.value.order(matrix(b.column("vector").take(pa.array(usual)))).tolist() if len(usual) else [], strict=True):
+                held[i] = order
+            for i in np.flatnonzero(lists != size):
+                held[i] = [-int(lists[i])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held, pa.list_(pa.int32()))], ["vec_id", "vector", "row", "parts"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    index = settle(rows.mapInArrow(routed, f"vec_id long, vector {kind}, parts array<int>"))
-    homes = index.select("vec_id", "vector", F.element_at("parts", 1).alias("part"))
-    asked = index.filter(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "parts")
+    index = settle(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(routed, f"vec_id long, vector {kind}, row long, parts array<int>"))
+    homes = index.select("vec_id", "vector", "row", F.element_at("parts", 1).alias("part"))
+    asked = index.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct(F.col("vector").alias("query"), "row", "parts")).alias("q")).select("query_id", "q.*")
     counts = {r["part"]: r["count"] for r in homes.groupBy("part").count().collect()}  # as many rows as there are parts
     queries = asked.count()
     if not queries:
@@ -171,21 +189,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, sample: in
     blocks = -(-queries // QUERY_BLOCK)
 
     def look(asked: DataFrame, probes: int) -> DataFrame:
-        sent = asked.select("query_id", "query", F.explode(F.slice("parts", 1, probes)).alias("part")).withColumn("chunks", chunks).filter("chunks is not null")
+        sent = asked.select("query_id", "query", "row", F.explode(F.slice("parts", 1, probes)).alias("part")).withColumn("chunks", chunks).filter("chunks is not null")
         sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        held = homes.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "part"), chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        held = homes.withColumn("chunk", F.pmod(F.xxhash64("row"), chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ["part", "chunk", "block"]
-        found = sent.select(*keys, "query_id", "query").groupBy(*keys).cogroup(held.select(*keys, "vec_id", "vector").groupBy(*keys)).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score double")
+        found = sent.select(*keys, "query_id", "query", "row").groupBy(*keys).cogroup(held.select(*keys, "vec_id", "vector", "row").groupBy(*keys)).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return settle(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
 
     first = look(asked, shared.value.probes)
-    total = sum(counts.values())
+    total = sum(n for p, n in counts.items() if p >= 0)
     if shared.value.probes < shared.value.parts:
         full = first.groupBy("query_id").count().filter(F.col("count") >= min(k, total - 1)).select("query_id")
-        short = settle(asked.join(full, "query_id", "left_anti"))
+        short = settle(asked.filter(F.element_at("parts", 1) >= 0).join(full, "query_id", "left_anti"))
         if short.limit(1).count():
-            first = first.join(full, "query_id", "left_semi").unionByName(look(short, shared.value.parts))
+            first = first.join(short.select("query_id"), "query_id", "left_anti").unionByName(look(short, shared.value.parts))
     return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
