@@ -2,7 +2,8 @@
 
 A block is a line or sentence, or a sentence that runs over several lines of a paragraph (notices are often wrapped); of
 the latter, words count that stand within twice a template's length, since unrelated lines meet there. A template is the
-word set of one license notice. Words of the templates are counted over
+word set of one license notice; templates of several sentences, such as a license's whole grant or disclaimer, are
+compared with whole paragraphs. Words of the templates are counted over
 the whole corpus and ordered from rare to frequent. A block that holds at least THRESHOLD of a template's words must
 hold one of the template's first n - need + 1 words in that order (prefix filter), must have `need` words (length
 filter), and from the meeting point on both must have `need` words left (positional filter). What passes is verified.
@@ -16,26 +17,28 @@ clashing names do no harm.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ascii_lower, table, written
 
 #: What stands between words, once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What parts lines and sentences, and what parts sentences whatever lines they run over.
-LINE, SENTENCE = r"[\n\r]+|[.!?]+(?=\s)", r"(?:\r\n?+|\n)[^\S\r\n]*[\r\n]\s*|[.!?]+(?=\s)"
+LINE, SENTENCE, PARAGRAPH = r"[\n\r]+|[.!?]+(?=\s)", r"(?:\r\n?+|\n)[^\S\r\n]*[\r\n]\s*|[.!?]+(?=\s)", r"[\r\n][ \t\f]*[\r\n]\s*"
 #: Phrases looked up as consecutive words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
-#: One-sentence notices of common licenses, by label.
+#: Notices of common licenses, by label; sentences end in a full stop and a space.
 TEMPLATES = {
     "agpl-3.0": "licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages. ",
     "bsl-1.0": "distributed under the boost software license version 1 0",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
@@ -44,18 +47,28 @@ TEMPLATES = {
     "epl-2.0": "made available under the terms of the eclipse public license 2 0",
     "gpl-2.0": "licensed under the gnu general public license version 2",
     "gpl-3.0": "licensed under the gnu general public license version 3",
+    "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version. this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose. ",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-2.1": "licensed under the gnu lesser general public license version 2 1",
     "mit": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software. ",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub(GAP, " ", text).split()
+
+
+def of_sentences(text: str) -> bool:
+    return ". " in text
+
+
 def spaced(text: Column) -> Column:
     """The words of a text, each once per occurrence, parted by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAP, " "))
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), GAP, " "))
 
 
 def spaces(c: Column) -> Column:
@@ -81,17 +94,17 @@ def phrase_places(docs: DataFrame) -> DataFrame:
 
 
 def template_index(spark: SparkSession, counts: DataFrame, templates: dict[str, str], threshold: float) -> tuple[DataFrame, dict[str, int]]:
-    """(rank, at, label, n, need, ranks) for the prefix words of each template, and the rank of every template word.
+    """(rank, at, label, n, need, long, ranks) for the prefix words of each template, and the rank of every template word.
 
     counts: word, n over the corpus. Its rows, and so what comes to the driver, are at most the words of the templates."""
     seen = {r["word"]: r["n"] for r in counts.collect()}
-    words = sorted({w for t in templates.values() for w in t.split()}, key=lambda w: (seen.get(w, 0), w))
+    words = sorted({w for t in templates.values() for w in template_words(t)}, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(words)}
     rows = []
     for label, text in sorted(templates.items()):
-        ranks = sorted({rank[w] for w in text.split()})
+        ranks = sorted({rank[w] for w in template_words(text)})
         need = -int(-threshold * len(ranks) // 1)
-        rows += [F.struct(F.lit(r).alias("rank"), F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(len(ranks)).alias("n"), F.lit(need).alias("need"), F.array(*map(F.lit, ranks)).alias("ranks")) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+        rows += [F.struct(F.lit(r).alias("rank"), F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(len(ranks)).alias("n"), F.lit(need).alias("need"), F.lit(of_sentences(text)).alias("long"), F.array(*map(F.lit, ranks)).alias("ranks")) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
     return spark.range(1).select(F.inline(F.array(*rows))), rank
 
 
@@ -100,24 +113,24 @@ def contained_templates(docs: DataFrame, index: DataFrame, rank: dict[str, int],
     by_rank = [w for w, _ in sorted(rank.items(), key=lambda x: x[1])]
     vocabulary = F.array(*map(F.lit, by_rank))
     to_rank = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    part = lambda c, wrapped: F.transform(c, lambda x: F.struct(x.alias("block"), F.lit(wrapped).alias("wrapped")))
+    part = lambda c, wrapped, whole: F.transform(c, lambda x: F.struct(x.alias("block"), F.lit(wrapped).alias("wrapped"), F.lit(whole).alias("whole")))
     blocks = (
-        docs.withColumn("low", F.lower("text"))
+        docs.withColumn("low", ascii_lower(F.col("text")))
         .filter(F.col("low").rlike(rf"(?:^|{GAP[:-1]})(?:{'|'.join(prefix)})(?:$|{GAP[:-1]})"))
-        .select("doc_id", "mark", F.inline(F.concat(part(F.split("low", LINE), False), part(F.filter(F.split("low", SENTENCE), lambda x: x.rlike(r"[\n\r]")), True))))
+        .select("doc_id", "mark", F.inline(F.concat(part(F.split("low", LINE), False, False), part(F.filter(F.split("low", SENTENCE), lambda x: x.rlike(r"[\n\r]")), True, False), part(F.split(F.replace("low", F.lit("\r\n"), F.lit("\n")), PARAGRAPH), False, True))))
         .filter(F.col("block").rlike("|".join(prefix)))
         .withColumn("words", F.split(spaced(F.col("block")), " "))
         .withColumn("known", F.array_intersect("words", vocabulary))
         .withColumn("held", F.array_sort(F.transform("known", lambda w: F.element_at(to_rank, w))))
         .withColumn("ordered", F.when(F.col("wrapped"), F.transform("words", lambda w: F.coalesce(F.element_at(to_rank, w), F.lit(-1)))))
-        .select("doc_id", "mark", "held", "ordered", F.posexplode("held").alias("place", "rank"))
+        .select("doc_id", "mark", "whole", "held", "ordered", F.posexplode("held").alias("place", "rank"))
     )
     need_left = F.least(F.col("n") - F.col("at"), F.size("held") - F.col("place")) >= F.col("need")
     overlap = F.size(F.array_intersect("ranks", "held"))
     close = F.array_max(F.transform(F.sequence(F.lit(1), F.size("ordered")), lambda i: F.size(F.array_intersect("ranks", F.slice("ordered", i, F.col("n") * 2)))))
     return (
         blocks.join(F.broadcast(index), "rank")
-        .filter((F.size("held") >= F.col("need")) & need_left)
+        .filter((F.col("whole") == F.col("long")) & (F.size("held") >= F.col("need")) & need_left)
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
         .withColumn("overlap", F.when(F.col("ordered").isNull(), F.col("overlap")).otherwise(close))
@@ -132,7 +145,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     score is 1 where a phrase stands, else the largest containment of a template that meets the threshold, else 0."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in templates.values() for w in t.split()})])
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in templates.values() for w in template_words(t)})])
     digest = written(phrase_places(docs).withColumn("present", F.array_intersect(F.split("words", " "), vocabulary)).drop("text", "words"))
     counts = digest.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     index, rank = template_index(docs.sparkSession, counts, templates, threshold)
@@ -155,19 +168,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    values = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES.items())
+    values = ", ".join(f"('{label}', string_split('{' '.join(template_words(text))}', ' '), {str(of_sentences(text)).lower()})" for label, text in TEMPLATES.items())
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     return rf"""
-WITH t AS (SELECT label, list_distinct(w) AS w FROM (VALUES {values}) v(label, w)),
+WITH t AS (SELECT label, list_distinct(w) AS w, long FROM (VALUES {values}) v(label, w, long)),
 p AS (SELECT * FROM (VALUES {phrases}) v(phrase, label)),
-d AS (SELECT row_number() OVER () AS uid, doc_id, lower(coalesce(text, '')) AS low FROM documents),
+d AS (SELECT row_number() OVER () AS uid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 n AS (SELECT uid, doc_id, low, list_filter(regexp_split_to_array(low, '{gap}'), lambda x: x <> '') AS w FROM d),
 pos AS (SELECT uid, unnest(range(len(w))) AS i, w FROM n),
 hits AS (SELECT uid, i, p.label FROM pos, p WHERE list_slice(w, i + 1, i + len(string_split(p.phrase, ' '))) = string_split(p.phrase, ' ')),
 base AS (SELECT uid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY uid),
-b AS (SELECT uid, list_distinct(list_filter(regexp_split_to_array(blk, '{gap}'), lambda x: x <> '')) AS w
-      FROM (SELECT uid, unnest(regexp_split_to_array(low, '[\n\r]+|[.!?]+\s')) AS blk FROM d)),
-c AS (SELECT b.uid, t.label, len(list_intersect(t.w, b.w)) AS o, len(t.w) AS n FROM b, t),
+b AS (SELECT uid, whole, list_distinct(list_filter(regexp_split_to_array(blk, '{gap}'), lambda x: x <> '')) AS w
+      FROM (SELECT uid, false AS whole, unnest(regexp_split_to_array(low, '[\n\r]+|[.!?]+\s')) AS blk FROM d UNION ALL SELECT uid, true, unnest(regexp_split_to_array(replace(low, chr(13) || chr(10), chr(10)), '{PARAGRAPH}')) FROM d)),
+c AS (SELECT b.uid, t.label, len(list_intersect(t.w, b.w)) AS o, len(t.w) AS n FROM b JOIN t ON b.whole = t.long),
 m AS (SELECT uid, list(DISTINCT label) AS added, max(o / n) AS containment FROM c WHERE o >= ceil({THRESHOLD} * n) GROUP BY uid)
 SELECT n.doc_id, CAST(len(n.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -87,7 +87,7 @@ def test_minhash_links_rows_without_ids(spark):
     for g in "ghk":
         words = [f"{g}{i}" for i in range(120)]
         made += [(None, " ".join(words), "s"), (7 if g == "k" else None, " ".join([*words[:-1], "x"]), "s")]
-    classes = minhash.linked_classes(df := rows(spark, made), minhash.digests(df)).collect()
+    classes = minhash.linked_classes(df := rows(spark, made), *minhash.digests(df)).collect()
     assert len({r.node for r in classes}) == 6 and len({r.component for r in classes}) == 3
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()), key=str) == brute_components(made)
 
@@ -110,7 +110,7 @@ def test_minhash_checks_pairs_that_are_the_best_of_neither_end(spark):
         c = [*a[:-4], *[f"c{g}x{i}" for i in range(4)]]
         d = [*b[:60], f"d{g}", *b[61:]]
         made += [(4 * g + k, " ".join(w), "s") for k, w in enumerate((a, b, c, d))]
-    bands = {r.doc_id: set(r.bands) for r in minhash.digests(rows(spark, made), minhash.Scheme(85, 6, 4)).collect()}
+    bands = {r.doc_id: set(r.bands) for r in minhash.digests(rows(spark, made), minhash.Scheme(85, 6, 4))[0].collect()}
     words = {d: t.split() for d, t, _ in made}
     sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in words.items()}
     want = {d: d for d in sets}
@@ -309,18 +309,19 @@ def test_nearest_neighbours_reach_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 12))
     x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 12)) * 0.3).astype(np.float32)
-    made = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5100, [0.0] * 12, 0), (5200, [1.0], 0), (5300, [float("inf")] * 12, 0), (100, x[100].tolist(), 0)]
+    made = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5100, [0.0] * 12, 0), (5200, [1.0], 0), (5202, [3.0], 0), (5300, [float("inf")] * 12, 0), (100, x[100].tolist(), 0)]
     df = spark.createDataFrame([(*m, *[None] * 6) for m in made], VEC)
     got = ann.search(df, F.col("vec_id") % 100 == 0, sample=512, parts=8).collect()
     hits = 0
     for q in range(0, 3000, 100):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
-        d[q] = np.inf
+        d[q] = 0.0 if q == 100 else np.inf  # another row has this id and vector
         best = np.lexsort((np.arange(3000), d))[:10]
         assert [r.rank for r in mine] == list(range(1, 11)) and all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in mine)
         hits += len({r.vec_id for r in mine} & set(best.tolist()))
-    assert hits >= 0.9 * 300 and {r.query_id for r in got} == set(range(0, 3000, 100))
+    assert hits >= 0.9 * 300 and {r.query_id for r in got} == {*range(0, 3000, 100), 5200}
+    assert [(r.rank, r.vec_id, r.score) for r in got if r.query_id == 5200] == [(1, 5202, 2.0)] and [r.vec_id for r in got if r.query_id == 100 and r.rank == 1] == [100]
 
 
 def test_few_vectors_give_all_candidates(spark):
