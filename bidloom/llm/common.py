@@ -109,11 +109,17 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def written(df: DataFrame) -> DataFrame:
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished queries now, instead of when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: compact, prunable by column. Dropped when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bidloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -186,36 +186,6 @@ def test_mixed_documents_repeat_as_often_as_the_mix_says(spark, documents):
     assert Counter(r.doc_id for r in got.collect()) == +want
 
 
-def test_lm_base_is_exact_and_the_model_is_better(spark, documents):
-    made = [(d, t, s) for d, t, s in documents if d is not None]
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    got = lm.score(rows(spark, made), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, most=50).collect()
-    tokens = lambda t: [*[x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")], None]
-    count = Counter(x for d, t, _ in made if not held(d) for x in tokens(t))
-    n, v = sum(count.values()), len(count)
-    want = sorted((d, len(tokens(t)), sum(count[x] > 0 for x in tokens(t)), round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t)), 4)) for d, t, _ in made)
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-    assert all(r.train_tokens == n and r.score < 0 for r in got)
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-
-
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    v = lm.Vocabulary(np.arange(5, dtype=np.uint64), np.arange(5, 10), 7, 60, 12)
-    counts = rng.integers(0, 4, (v.size, v.size)) * (rng.random((v.size, v.size)) < 0.7)
-    counts[:, v.begin] = 0
-    stats = np.stack([counts.sum(1), (counts == 1).sum(1), (counts == 2).sum(1), (counts > 2).sum(1), (counts > 0).sum(0)])
-    s = lm.Smoothing(v, stats, np.bincount(np.minimum(counts[counts > 0], 5), minlength=6))
-    for c in range(v.size):
-        p = (counts[c] - s.take[np.minimum(counts[c], 3)]) / max(s.total[c], 1) + s.weight[c] * s.continued
-        assert p[: v.begin].sum() == pytest.approx(1)
-
-
-def test_scrambling_can_be_undone():
-    x = np.random.default_rng(0).integers(0, 1 << 32, 10_000, dtype=np.uint32)
-    assert (lm.unscramble(lm.scramble(x)) == x).all()
-
-
 def test_html_drops_boilerplate_and_keeps_short_blocks(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies.</div>
       <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="sidebar"><p>Side text, quite long. More, more, more text here.</p></div>
