@@ -80,13 +80,18 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trimmed()
 
     return tidied
 
 
+def trimmed() -> None:
+    """Gives memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most so many rows."""
     for start in range(0, batch.num_rows, rows):
