@@ -9,6 +9,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -116,20 +117,27 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of finished queries now, instead of when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # listeners hold a query for a moment after its end
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: compact, prunable by column. Dropped when the process ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; what is there goes when the process ends."""
     path = f"{shared_dir(spark)}/bidloom-{uuid.uuid4().hex}"
+    atexit.register(dropped, spark, path)
+    return path
+
+
+def written(df: DataFrame, compression: str = "snappy", path: str | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: compact, prunable by column. Dropped when the process ends."""
+    path = path or fresh_path(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None and spark.sparkContext._jsc is not None:
         place = jvm.org.apache.hadoop.fs.Path(path)
