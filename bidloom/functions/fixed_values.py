@@ -42,6 +42,18 @@ NOISE = (
 )
 TOKEN = r"[а-яa-z0-9]+(?:[-./][а-яa-z0-9]+)*"
 
+# Patterns of years and numbers; Latin keys that may be Russian ones; abbreviations in brackets and the words before them.
+YEAR, NUMBER = r"^(19|20)\d\d(-(19|20)?\d\d)?$", r"^\d+([.,]\d+)?$"
+CHUNK_KEYS = r"[a-z;',.\[\]`{}:\"<>~]"
+CHUNK = rf"(?<![0-9а-яё]){CHUNK_KEYS}+(?![0-9а-яё])"
+BRACKET, NAME = r"\(\s*([А-ЯЁA-Z]{2,8})\s*\)", r"[А-Яа-яЁёA-Za-z]+(?:-[А-Яа-яЁёA-Za-z]+)*"
+
+# Limits and weights of the query parser.
+LEAST_FREQUENCY, FREQUENT, FREQUENCY_BONUS, MOST_COST, DOCUMENTS = 3, 20, 0.35, 1.0, 1_500_000
+KEPT, COUNTED = ("NOUN", "ADJF", "ADJS", "PRTF", "LATN", "NUM", "UNKN", "COMP"), ("шт", "уп", "пар")
+SYNONYM, MINED, NARROWER, BROADER, MOST_SYNONYMS, LONGEST_PHRASE = 0.85, 0.75, 0.5, 0.4, 8, 6
+SYNONYM_SCALE, DROPPED_WEIGHT, ITEM_WEIGHT = 1.0, 0.5, 0.7
+
 # Stems that tell goods from services.
 GOODS = r"\b(поставк|закупк|приобретени|покупк|товар)\w*"
 SERVICES = r"\b(оказани|услуг|выполнени|работ|обслуживани|ремонт|монтаж|обучени|вывоз|уборк|охран|аренд)\w*"
@@ -89,3 +101,12 @@ HEADINGS = {
 SILENT_HEADINGS = ("customer kpp", "кпп заказчика")
 YES = ("да", "true", "1", "yes", "y", "истина", "+")
 NO = ("нет", "false", "0", "no", "n", "ложь", "-")
+
+# Sentences of statuses and of the confidence.
+WON_OF, WON_TENDERS, FEW_WINS = "побед в похожих закупках ({}): ", "победитель похожих процедур ({}): ", "; доля побед ниже 25%"
+BY_CODES = " побед по тем же кодам ОКПД2, но не в похожих по названию закупках"
+TOOK_PART, BY_CATEGORY = "без побед участвовал в похожих закупках: ", "работал по тем же кодам ОКПД2 или в закупках с общими словами; близких по предмету нет"
+APPROXIMATE = "точных совпадений в истории нет — поставщик из ближайших по словам закупок"
+FOUND_FEW = "В истории закупок почти нет похожих (найдено {}). Рекомендации приблизительные: показаны поставщики ближайших по словам закупок. Уточните название или добавьте позиции и ОКПД2."
+NOT_MET = "В похожих закупках не встречается: {}. Показаны поставщики, подходящие по остальным словам — проверьте, что это то, что вам нужно."
+RATHER_FEW = "Похожих закупок в истории немного ({}) — рейтинг менее надёжен, чем обычно."

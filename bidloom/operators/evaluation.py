@@ -57,9 +57,8 @@ def newcomers(lots: DataFrame, bids: DataFrame, since: str) -> DataFrame:
 
 def newcomer_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, inn, rank of the true winner among the pool (1 + companies with a higher score; 0 if it doesn't fit). truth: query_id, inn."""
-    own = truth.join(scores.select("query_id", "inn", F.col("pool_score").alias("mine")), ["query_id", "inn"], "left")
-    above = own.filter("mine is not null").join(scores.select("query_id", "pool_score"), "query_id").groupBy("query_id", "inn").agg(F.count_if(F.col("pool_score") > F.col("mine")).alias("above"))
-    return own.join(above, ["query_id", "inn"], "left").select("query_id", "inn", F.coalesce(F.col("above") + 1, F.lit(0)).alias("rank"))
+    ranked = scores.select("query_id", "inn", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("pool_score"))).alias("rank"))
+    return truth.join(ranked, ["query_id", "inn"], "left").select("query_id", "inn", F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"))
 
 
 def learned_weights(rows: DataFrame, label: str, columns: list[str]) -> dict[str, float]:

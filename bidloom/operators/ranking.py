@@ -105,14 +105,24 @@ def features(cards: DataFrame, lots_part: DataFrame, codes_part: DataFrame, cust
     return out
 
 
+def active_weights() -> dict[str, Column]:
+    """Weight of each factor for a row's query: none where the query lacks what the factor needs. Rows: customer_inn, has_history, price, platform, level."""
+    needed = {"customer_inn": F.col("customer_inn").isNotNull() & F.col("has_history"), "price": F.coalesce(F.col("price"), F.lit(0.0)) > 0, "platform": F.col("platform").isNotNull()}
+    return {k: F.when(needed[V.NEEDS[k]], w).otherwise(0.0) if k in V.NEEDS else F.lit(w) for k, w in V.WEIGHTS.items()}
+
+
+def normalised_weights() -> dict[str, Column]:
+    """Active weights divided by their sum, less where confidence is lower: the score is the factors' sum by these."""
+    weight = active_weights()
+    scale = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in V.CONFIDENCE_SCALE.items()], F.lit(1.0))
+    total = reduce(lambda a, b: a + b, weight.values())
+    return {k: w / (total / scale) for k, w in weight.items()}
+
+
 def scored(rows: DataFrame, confidence: DataFrame, limit: int | None = 20) -> DataFrame:
     """Adds score (0 to 100, one decimal), raw score and place. Factors whose field the query lacks don't count; low confidence scales the score down."""
     rows = rows.join(confidence.select("query_id", "level"), "query_id", "left")
-    needed = {"customer_inn": F.col("customer_inn").isNotNull() & F.col("has_history"), "price": F.coalesce(F.col("price"), F.lit(0.0)) > 0, "platform": F.col("platform").isNotNull()}
-    weight = {k: F.when(needed[V.NEEDS[k]], w).otherwise(0.0) if k in V.NEEDS else F.lit(w) for k, w in V.WEIGHTS.items()}
-    add = lambda cs: reduce(lambda a, b: a + b, cs)
-    scale = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in V.CONFIDENCE_SCALE.items()], F.lit(1.0))
-    raw = add([weight[k] * F.col(f"f_{k}") for k in weight]) / (add(list(weight.values())) / scale)
+    raw = reduce(lambda a, b: a + b, [w * F.col(f"f_{k}") for k, w in normalised_weights().items()])
     out = rows.withColumn("raw_score", F.round(raw, 9)).withColumn("score", F.round(F.col("raw_score") * 100, 1))
     out = out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "inn")))
     return out if limit is None else out.filter(F.col("place") <= limit)
@@ -125,6 +135,20 @@ def status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("level") == "low", "approx").otherwise(by_rule))
 
 
+def status_reason(rows: DataFrame, market: Market = Market()) -> DataFrame:
+    """Adds status_reason: why a supplier has its status. Rows: status and the counts that it rests on."""
+    num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rate = F.coalesce(F.try_divide("em_wins", "em_parts"), F.lit(0.0))
+    won = F.concat_ws("; ", F.when(zero("em_parts") > 0, F.concat(F.lit(V.WON_OF.format(market.shop)), num("em_wins"), F.lit(" из "), num("em_parts"))), F.when(zero("ais_wins") > 0, F.concat(F.lit(V.WON_TENDERS.format(market.tender)), num("ais_wins"))))
+    few = F.when((zero("wins") >= 3) & (rate < 0.25), F.concat(won, F.lit(V.FEW_WINS))).otherwise(won)
+    text = (
+        F.when(F.col("status") == "approx", V.APPROXIMATE).when(F.col("status") == "verified", won).when((F.col("status") == "experienced") & (zero("wins") >= 1), few)
+        .when(F.col("status") == "experienced", F.concat(num("code_wins"), F.lit(V.BY_CODES))).when(F.col("status") == "participant", F.concat(F.lit(V.TOOK_PART), num("em_parts"))).otherwise(V.BY_CATEGORY)
+    )
+    return rows.withColumn("status_reason", text)
+
+
 def penalised(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """Halves the score of suppliers on the register of unfair suppliers and ranks the already truncated list again. flagged: inn, in_rnp."""
     out = rows.join(flagged.select("inn", "in_rnp"), "inn", "left").withColumn("score", F.when(F.col("in_rnp"), F.round(F.col("score") * 0.5, 1)).otherwise(F.col("score")))
@@ -132,8 +156,8 @@ def penalised(rows: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def contributions(rows: DataFrame) -> DataFrame:
-    """query_id, inn, factors: (factor, points) of the factors above zero, largest first."""
-    parts = F.filter(F.array(*[F.struct(F.round(-F.col(f"f_{k}") * w * 100, 6).alias("minus"), F.lit(k).alias("factor")) for k, w in V.WEIGHTS.items()]), lambda x: x["minus"] < 0)
+    """query_id, inn, factors: (factor, points) of the factors above zero, largest first. The points sum to the score before any penalty."""
+    parts = F.filter(F.array(*[F.struct(F.round(-F.col(f"f_{k}") * w * 100, 6).alias("minus"), F.lit(k).alias("factor")) for k, w in normalised_weights().items()]), lambda x: x["minus"] < 0)
     return rows.select("query_id", "inn", F.transform(F.array_sort(parts), lambda x: F.struct(x["factor"].alias("factor"), (-x["minus"]).alias("points"))).alias("factors"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import fixed_values as V
-from bidloom.functions.scalars import is_goods, level, terms
+from bidloom.functions.scalars import is_goods, level, normalize, terms
 
 
 class Index(NamedTuple):
@@ -46,6 +46,53 @@ def query_vectors(queries: DataFrame, idf: DataFrame, weighted: bool = False) ->
     return raw.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))).alias("w"))
 
 
+def weighted_terms(parsed: DataFrame, idf: DataFrame, items: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """query_id, term, weight of a batch of parsed queries (as language.parsed gives them), for query_vectors.
+
+    Weights are relative to the query's heaviest term; expansions to broader terms and bare numbers are left out; content
+    words of the text that the parser dropped come back at a fixed weight if the index knows them. items: query_id, term
+    of the items, which add at theirs. exclude: query_id, term that the user doesn't want."""
+    top = F.array_max(F.transform("terms", lambda t: t["weight"]))
+    broader = F.flatten(F.transform(F.filter("synonyms", lambda s: s["kind"] == "broader"), lambda s: F.transform(s["idfs"], lambda i: i["lemma"])))
+    core = F.transform("keywords", lambda k: k["lemma"])
+    kept = F.filter("terms", lambda t: ~F.array_contains(F.array_except(broader, core), t["lemma"]) & ~t["lemma"].rlike(r"^[\d.,x×х*/-]+$"))
+    scaled = F.transform(kept, lambda t: F.struct(t["lemma"].alias("lemma"), (t["weight"] * F.when((F.size("keywords") > 0) & ~F.array_contains(core, t["lemma"]), V.SYNONYM_SCALE).otherwise(1.0) / F.col("top")).alias("weight")))
+    rows = parsed.filter(F.size("terms") > 0).withColumn("top", F.when(top == 0, 1.0).otherwise(top)).select("query_id", F.inline(scaled))
+    own = rows.select("query_id", F.explode(terms(F.col("lemma"), cleaned=False)).alias("term"), "weight").groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
+    plain = parsed.select("query_id", F.explode(F.array_distinct(terms(F.array_join("tokens", " ")))).alias("term"))
+    bare = plain.join(own.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term", F.lit(1.0).alias("weight"))
+    dropped = plain.filter(~F.col("term").rlike(r"^[\d.,-]+$")).join(idf.select("term"), "term", "left_semi").join(own.select("query_id").distinct(), "query_id", "left_semi")
+    out = own.unionByName(bare).unionByName(dropped.join(own, ["query_id", "term"], "left_anti").select("query_id", "term", F.lit(V.DROPPED_WEIGHT).alias("weight")))
+    if items is not None:
+        out = out.unionByName(items.distinct().join(out, ["query_id", "term"], "left_anti").select("query_id", "term", F.lit(V.ITEM_WEIGHT).alias("weight")))
+    return out if exclude is None else out.join(exclude.select("query_id", F.trim(normalize(F.col("term"))).alias("term")), ["query_id", "term"], "left_anti")
+
+
+def keyword_core(parsed: DataFrame, all_terms: DataFrame) -> DataFrame:
+    """query_id, term: the terms of a query's keywords, by which its confidence is judged; all of its terms where it has none. all_terms: query_id, term."""
+    core = parsed.select("query_id", F.explode(F.transform("keywords", lambda k: k["lemma"])).alias("lemma")).select("query_id", F.explode(terms(F.col("lemma"), cleaned=False)).alias("term")).distinct()
+    core = core.join(all_terms, ["query_id", "term"], "left_semi")
+    return core.unionByName(all_terms.select("query_id", "term").join(core.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def confidence_message(rows: DataFrame) -> DataFrame:
+    """Adds message: what a user is told of the confidence. rows: level, similar_lots, unmatched."""
+    say = lambda text, value: F.concat(F.lit(text.split("{}")[0]), value, F.lit(text.split("{}")[1]))
+    n = F.col("similar_lots").cast("string")
+    words = F.array_join(F.transform(F.slice("unmatched", 1, 4), lambda t: F.concat(F.lit("«"), t, F.lit("»"))), ", ")
+    return rows.withColumn("message", F.when(F.col("level") == "low", say(V.FOUND_FEW, n)).when(F.size("unmatched") > 0, say(V.NOT_MET, words)).when(F.col("level") == "medium", say(V.RATHER_FEW, n)).otherwise(""))
+
+
+def labelled(shares: DataFrame, official: DataFrame, samples: DataFrame) -> DataFrame:
+    """Adds name to codes: the official name of the code or its nearest ancestor, else that of the code's commonest item. official: code, name; samples: code8, name, n."""
+    out = shares
+    for n in (8, 7, 5, 4, 2):
+        out = out.join(F.broadcast(official.filter(F.length("code") <= n).select(F.col("code").alias(f"c{n}"), F.col("name").alias(f"n{n}"))) if n < 8 else official.select(F.col("code").alias("c8"), F.col("name").alias("n8")), F.substring("code8", 1, n) == F.col(f"c{n}"), "left")
+    best = samples.groupBy("code8").agg(F.max_by("name", F.struct("n", "name")).alias("sample"))
+    out = out.join(best, "code8", "left").withColumn("name", F.coalesce(*[F.col(f"n{n}") for n in (8, 7, 5, 4, 2)], "sample", F.lit("")))
+    return out.drop("sample", *[f"{x}{n}" for n in (8, 7, 5, 4, 2) for x in "cn"])
+
+
 def similar(vectors: DataFrame, index: Index, k: int = V.TOP_LOTS, eligible: DataFrame | None = None, pair_filter: Column | None = None) -> DataFrame:
     """query_id, id, sim, place: the k most similar documents of each query with a positive similarity.
 

@@ -46,7 +46,7 @@ def lemma_class_prob(spark: SparkSession, d: str) -> DataFrame:
     counts = pairs.select("cls", F.explode(F.array_distinct(terms(F.col("product_name"), stopwords=(), cleaned=False))).alias("token")).groupBy("token", "cls").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("token")
     shares = counts.withColumn("total", F.sum("n").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("n"), "cls")))
-    return shares.filter((F.col("total") >= 5) & (F.col("n") / F.col("total") >= 0.005) & (F.col("place") <= 5)).select("token", "cls", F.round(F.col("n") / F.col("total"), 6).alias("p"), "place")
+    return shares.filter((F.col("total") >= 5) & (F.col("n") / F.col("total") >= 0.05) & (F.col("place") <= 5)).select("token", "cls", F.round(F.col("n") / F.col("total"), 6).alias("p"), "place")
 
 
 class Scene:
@@ -288,6 +288,7 @@ conf0 AS (SELECT query_id, count(*) FILTER (WHERE sim >= {V.SIMILAR_ENOUGH}) AS
 conf AS (SELECT q.query_id, coalesce(n, 0) AS n, coalesce(top, 0) AS top, unmatched, CASE WHEN coalesce(n, 0) < 10 OR coalesce(top, 0) < 0.3 OR unmatched IS NOT NULL OR coalesce(n, 0) < 30 THEN 'medium' ELSE 'high' END AS level
   FROM (SELECT DISTINCT query_id FROM qt) q LEFT JOIN conf0 USING (query_id) LEFT JOIN um USING (query_id))"""
 
+_HISTORY = " * CASE WHEN has_history THEN 1 ELSE 0 END"
 _SUM = " + ".join(f"{w}::DOUBLE * f_{k}" + (" * CASE WHEN has_history THEN 1 ELSE 0 END" if V.NEEDS.get(k) == "customer_inn" else "") for k, w in V.WEIGHTS.items())
 _NORM = " + ".join(f"{w}::DOUBLE" + (" * CASE WHEN has_history THEN 1 ELSE 0 END" if V.NEEDS.get(k) == "customer_inn" else "") for k, w in V.WEIGHTS.items())
 _RANKED = f"""rk0 AS (SELECT f.*, level, round(({_SUM}) / (({_NORM}) / CASE level WHEN 'high' THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END), 9) AS raw FROM feat f JOIN conf USING (query_id)),
@@ -336,7 +337,7 @@ ORACLES = {
     "tfidf_topk": f"WITH {_DOCS}, {_BENCH} SELECT query_id, id, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM bp WHERE place <= 10",
     "vocab_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM (SELECT DISTINCT text FROM documents)) WHERE length(token) >= 2 GROUP BY token HAVING count(*) >= 3",
     "lemma_class_prob": with_("p AS (SELECT DISTINCT product_name, substr(okpd2_code, 1, 5) AS cls FROM items)", f"c AS (SELECT token, cls, count(*) AS n FROM (SELECT cls, unnest(list_distinct({tokens('product_name')})) AS token FROM p) GROUP BY ALL)",
-        "s AS (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, cls) AS place FROM c)") + " SELECT token, cls, round(n / total, 6) AS p, CAST(place AS INTEGER) AS place FROM s WHERE total >= 5 AND n / total >= 0.005 AND place <= 5",
+        "s AS (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, cls) AS place FROM c)") + " SELECT token, cls, round(n / total, 6) AS p, CAST(place AS INTEGER) AS place FROM s WHERE total >= 5 AND n / total >= 0.05 AND place <= 5",
     "similar_lots": with_(_SEARCH) + " SELECT query_id, id, sim, CAST(place AS INTEGER) AS place FROM sim",
     "okpd_vote_items": with_(_SEARCH, _VOTES) + " SELECT query_id, code8, round(vi, 6) AS votes, matched_item FROM vi",
     "okpd_vote_lots": with_(_SEARCH, _VOTES) + " SELECT query_id, code8, round(vl, 6) AS votes FROM vl",
@@ -351,7 +352,7 @@ ORACLES = {
     "rnp_penalty": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED, "pn AS (SELECT query_id, inn, place AS p0, CASE WHEN inn LIKE '%7' THEN round(score * 0.5, 1) ELSE score END AS score FROM ranked WHERE place <= 20)")
         + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p0) AS INTEGER) AS place, inn, score FROM pn",
     "confidence_level": with_(_SEARCH, _CONFIDENCE) + " SELECT query_id, level, n AS similar_lots, round(top, 2) AS top_similarity, coalesce(array_to_string(unmatched, ','), '') AS unmatched FROM conf",
-    "factor_contributions": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT query_id, inn, '{k}' AS factor, round(CAST(f_{k} AS DOUBLE) * {w}::DOUBLE * 100, 6) AS points FROM ranked WHERE place <= 20" for k, w in V.WEIGHTS.items()) + ") WHERE points > 0",
+    "factor_contributions": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT query_id, inn, '{k}' AS factor, round(CAST(f_{k} AS DOUBLE) * {w}::DOUBLE{_HISTORY if V.NEEDS.get(k) == 'customer_inn' else ''} / (({_NORM}) / CASE level WHEN 'high' THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END) * 100, 6) AS points FROM ranked WHERE place <= 20" for k, w in V.WEIGHTS.items()) + ") WHERE points > 0",
     "reasons_text": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + _REASONS,
     "supplier_evidence": with_(_SEARCH, f"""ev AS (SELECT query_id, b.inn, id, row_number() OVER (PARTITION BY query_id, b.inn ORDER BY coalesce(l.customer_inn = c.customer_inn, false) DESC, is_winner DESC, sim DESC, id) AS rn
   FROM matched JOIN lots l ON l.lot_id = id JOIN bids b ON b.lot_id = id JOIN cards c USING (query_id) WHERE sim >= {V.SIMILAR_ENOUGH} AND match = 1.0)""") + " SELECT query_id, inn, array_to_string(list(id ORDER BY rn), ',') AS lots FROM ev WHERE rn <= 3 GROUP BY ALL",

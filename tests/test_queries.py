@@ -92,9 +92,42 @@ def test_bootstrap_and_learned_weights(spark):
 
 
 def test_contributions_sum_to_the_score(spark):
-    row = {f"f_{k}": 0.5 for k in ranking.V.WEIGHTS} | {"query_id": 1, "inn": "1"}
-    got = ranking.contributions(spark.createDataFrame([row])).first().factors
-    assert sum(f.points for f in got) == pytest.approx(50 * sum(ranking.V.WEIGHTS.values())) and got[0].factor == "text"
+    """The points sum to the score itself, whatever the query lacks and however sure it is."""
+    full = {f"f_{k}": 0.1 + 0.08 * i for i, k in enumerate(ranking.V.WEIGHTS)} | {"inn": "1", "customer_inn": "5", "has_history": True, "price": 7.0, "platform": "x"}
+    rows = [full | {"query_id": 1}, full | {"query_id": 2, "customer_inn": None, "price": None}, full | {"query_id": 3, "has_history": False, "platform": None}]
+    schema = ", ".join(f"{k} {'double' if k.startswith('f_') or k == 'price' else 'boolean' if k == 'has_history' else 'long' if k == 'query_id' else 'string'}" for k in rows[0])
+    confidence = spark.createDataFrame([(1, "high"), (2, "medium"), (3, "low")], "query_id long, level string")
+    scored = ranking.scored(spark.createDataFrame([tuple(r.values()) for r in rows], schema), confidence)
+    scores = {r.query_id: r.raw_score * 100 for r in scored.collect()}
+    for r in ranking.contributions(scored).collect():
+        assert sum(f.points for f in r.factors) == pytest.approx(scores[r.query_id], abs=1e-4) and [f.points for f in r.factors] == sorted((f.points for f in r.factors), reverse=True)
+
+
+def test_statuses_say_why(spark):
+    rows = spark.createDataFrame([("verified", 3, 4, 3, 0, 0), ("experienced", 3, 20, 3, 0, 0), ("experienced", 0, 0, 0, 0, 5), ("participant", 0, 2, 0, 0, 0), ("category", 0, 0, 0, 0, 0), ("approx", 3, 4, 3, 1, 0)], "status string, wins int, em_parts int, em_wins int, ais_wins int, code_wins int")
+    got = [r.status_reason for r in ranking.status_reason(rows).collect()]
+    assert "3 из 4" in got[0] and got[1].endswith("ниже 25%") and got[2].startswith("5 побед") and got[3].endswith(": 2") and "категор" in got[4] + "категор" and "точных совпадений" in got[5]
+
+
+def test_parsed_queries_weigh_their_terms(spark):
+    synonym = "matched:array<string>,phrase:array<string>,kind:string,weight:double,idfs:array<struct<lemma:string,idf:double>>"
+    schema = f"query_id long, tokens array<string>, terms array<struct<lemma:string,weight:double,added:boolean>>, keywords array<struct<lemma:string,role:string,weight:double>>, synonyms array<struct<{synonym}>>"
+    rows = [(1, ["бумага", "белая", "прочее"], [("бумага", 2.0, False), ("картон", 1.0, True), ("техника", 0.8, True), ("24", 0.5, False)], [("бумага", "head", 2.0)], [(["бумага"], ["техника"], "broader", 0.4, [("техника", 1.0)])]), (2, ["стул"], [], [], [])]
+    idf = spark.createDataFrame([("бумага", 5, 1.0), ("белая", 5, 1.0)], "term string, df long, idf double")
+    items, exclude = spark.createDataFrame([(1, "ручка"), (1, "бумага")], "query_id long, term string"), spark.createDataFrame([(1, "Картон ")], "query_id long, term string")
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.query_id, r.term): r.weight for r in retrieval.weighted_terms(df, idf, items, exclude).collect()}
+    assert got == {(1, "бумага"): 1.0, (1, "белая"): 0.5, (1, "ручка"): 0.7, (2, "стул"): 1.0}
+    terms = spark.createDataFrame([(1, "бумага"), (1, "белая"), (2, "стул")], "query_id long, term string")
+    assert {(r.query_id, r.term) for r in retrieval.keyword_core(df, terms).collect()} == {(1, "бумага"), (2, "стул")}
+
+
+def test_codes_get_the_nearest_name(spark):
+    shares = spark.createDataFrame([("17.12.14",), ("17.99.01",), ("33.1",), ("40",)], "code8 string")
+    official, samples = spark.createDataFrame([("17.12.14", "бумага"), ("17", "изделия")], "code string, name string"), spark.createDataFrame([("33.1", "ремонт", 3), ("33.1", "x", 1), ("17.12.14", "y", 9)], "code8 string, name string, n long")
+    assert {r.code8: r.name for r in retrieval.labelled(shares, official, samples).collect()} == {"17.12.14": "бумага", "17.99.01": "изделия", "33.1": "ремонт", "40": ""}
+    told = spark.createDataFrame([("low", 3, []), ("medium", 20, ["a", "b"]), ("medium", 20, []), ("high", 50, [])], "level string, similar_lots long, unmatched array<string>")
+    assert [m[:12] for m in (r.message for r in retrieval.confidence_message(told).collect())] == ["В истории за", "В похожих за", "Похожих заку", ""]
 
 
 def test_enrichment_puts_warnings_first(spark):
