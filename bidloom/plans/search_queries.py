@@ -9,6 +9,7 @@ from bidloom.functions import fixed_values as V
 from bidloom.functions.scalars import intent, level, terms
 from bidloom.operators import companies as C
 from bidloom.operators import evaluation as E
+from bidloom.operators import language as L
 from bidloom.operators import marts as M
 from bidloom.operators import ranking as R
 from bidloom.operators import retrieval as T
@@ -41,12 +42,10 @@ def vocab_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lemma_class_prob(spark: SparkSession, d: str) -> DataFrame:
-    """token, cls, p, place: the classes in which a word of item names stands."""
+    """token, cls, p, place: the classes in which a word of item names stands. The stand-in's words spread over hundreds of classes, so the least share is a tenth of the usual one."""
     pairs = D.items(spark, d).select("product_name", level(F.col("okpd2_code"), 5).alias("cls")).distinct()
-    counts = pairs.select("cls", F.explode(F.array_distinct(terms(F.col("product_name"), stopwords=(), cleaned=False))).alias("token")).groupBy("token", "cls").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("token")
-    shares = counts.withColumn("total", F.sum("n").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("n"), "cls")))
-    return shares.filter((F.col("total") >= 5) & (F.col("n") / F.col("total") >= 0.05) & (F.col("place") <= 5)).select("token", "cls", F.round(F.col("n") / F.col("total"), 6).alias("p"), "place")
+    found = L.class_probabilities(pairs.select("cls", F.explode(F.array_distinct(terms(F.col("product_name"), stopwords=(), cleaned=False))).alias("lemma")), share=0.005)
+    return found.select(F.col("lemma").alias("token"), "cls", F.round("p", 6).alias("p"), "place")
 
 
 class Scene:
@@ -337,7 +336,7 @@ ORACLES = {
     "tfidf_topk": f"WITH {_DOCS}, {_BENCH} SELECT query_id, id, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM bp WHERE place <= 10",
     "vocab_token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM (SELECT DISTINCT text FROM documents)) WHERE length(token) >= 2 GROUP BY token HAVING count(*) >= 3",
     "lemma_class_prob": with_("p AS (SELECT DISTINCT product_name, substr(okpd2_code, 1, 5) AS cls FROM items)", f"c AS (SELECT token, cls, count(*) AS n FROM (SELECT cls, unnest(list_distinct({tokens('product_name')})) AS token FROM p) GROUP BY ALL)",
-        "s AS (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, cls) AS place FROM c)") + " SELECT token, cls, round(n / total, 6) AS p, CAST(place AS INTEGER) AS place FROM s WHERE total >= 5 AND n / total >= 0.05 AND place <= 5",
+        "s AS (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, cls) AS place FROM c)") + " SELECT token, cls, round(n / total, 6) AS p, CAST(place AS INTEGER) AS place FROM s WHERE total >= 5 AND n / total >= 0.005 AND place <= 5",
     "similar_lots": with_(_SEARCH) + " SELECT query_id, id, sim, CAST(place AS INTEGER) AS place FROM sim",
     "okpd_vote_items": with_(_SEARCH, _VOTES) + " SELECT query_id, code8, round(vi, 6) AS votes, matched_item FROM vi",
     "okpd_vote_lots": with_(_SEARCH, _VOTES) + " SELECT query_id, code8, round(vl, 6) AS votes FROM vl",
