@@ -130,10 +130,26 @@ def fresh_path(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, compression: str = "snappy", path: str | None = None) -> DataFrame:
+#: For tables whose rows hold megabytes each: Parquet looks at sizes after each row, not after a hundred, and ends row groups early.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+@contextlib.contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """Parquet is read so many rows at a time in what runs meanwhile; by default it is 4096, which the heap can't hold where each has megabytes."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, compression: str = "snappy", path: str | None = None, options: dict[str, int] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: compact, prunable by column. Dropped when the process ends."""
     path = path or fresh_path(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**(options or {})).option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
