@@ -110,3 +110,10 @@ APPROXIMATE = "точных совпадений в истории нет — п
 FOUND_FEW = "В истории закупок почти нет похожих (найдено {}). Рекомендации приблизительные: показаны поставщики ближайших по словам закупок. Уточните название или добавьте позиции и ОКПД2."
 NOT_MET = "В похожих закупках не встречается: {}. Показаны поставщики, подходящие по остальным словам — проверьте, что это то, что вам нужно."
 RATHER_FEW = "Похожих закупок в истории немного ({}) — рейтинг менее надёжен, чем обычно."
+
+# Words and headings of the exported tables.
+KINDS = {"goods": "товар", "services": "работа/услуга"}
+LEVELS = {"high": "высокая", "medium": "средняя", "low": "низкая"}
+FROM_HISTORY, FROM_REGISTRY = "история закупок", "новая компания (реестр МСП)"
+SUMMARY_HEADINGS = ("Номер закупки", "Номер лота", "Наименование", "Позиций", "ОКПД2", "Тип", "Уверенность подбора", "Замечание", "Найдено из истории", "Новых компаний", "Топ-1", "Топ-2", "Топ-3")
+RECOMMENDATION_HEADINGS = ("Номер закупки", "Номер лота", "Место", "ИНН", "Название", "Источник", "Роль", "Статус", "Балл", "Причины", "Телефон", "Email", "ОКВЭД")

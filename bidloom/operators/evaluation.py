@@ -61,6 +61,12 @@ def newcomer_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.join(ranked, ["query_id", "inn"], "left").select("query_id", "inn", F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"))
 
 
+def newcomer_recall(ranks: DataFrame, tops: tuple[int, ...] = (10, 50, 200)) -> DataFrame:
+    """n, matched (share of newcomers that fit at all) and top10, top50, top200: shares of newcomers that the pool's ranking puts so high."""
+    share = lambda hit: F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), 4)
+    return ranks.agg(F.count("*").alias("n"), share(F.col("rank") > 0).alias("matched"), *[share(F.col("rank").between(1, k)).alias(f"top{k}") for k in tops])
+
+
 def learned_weights(rows: DataFrame, label: str, columns: list[str]) -> dict[str, float]:
     """Weights of factors by logistic regression with balanced classes; negative ones are cut, the rest sum to one."""
     from pyspark.ml.classification import LogisticRegression

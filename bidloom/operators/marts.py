@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.scalars import level
@@ -157,12 +157,22 @@ def balanced_pool(lots: DataFrame, bids: DataFrame, items: DataFrame, since: str
     )
 
 
+def seeded_order(key: Column, seed: int = 0) -> Column:
+    """A hash of the key and the seed to order by: the same on every run, however the rows are dealt out."""
+    return F.md5(F.concat(F.lit(f"{seed}/"), key.cast("string")))
+
+
+def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The n rows that come first in the seeded order of their keys. Each task keeps its own first n, so no whole sort is needed."""
+    return rows.orderBy(seeded_order(F.col(key), seed), key).limit(n)
+
+
 def balanced_pick(pool: DataFrame, seed: int = 0) -> DataFrame:
     """Two or three lots of each stratum, new classes first; lots of a stratum in the order of a seeded hash.
 
     Ranks replace the sequential choice: in each stratum the first lot of every class goes before the second ones."""
     strata = Window.partitionBy("platform", "kind", "size_band")
-    shuffled = F.xxhash64(F.lit(seed), "lot_id")
+    shuffled = seeded_order(F.col("lot_id"), seed)
     first = F.row_number().over(Window.partitionBy("platform", "kind", "size_band", "class_code").orderBy(shuffled, "lot_id"))
     place = F.row_number().over(strata.orderBy("again", shuffled, "lot_id"))
     odd = (F.dense_rank().over(Window.orderBy("platform")) + (F.col("kind") == "services").cast("int") + (F.col("size_band") == "multi").cast("int")) % 2

@@ -93,14 +93,17 @@ def labelled(shares: DataFrame, official: DataFrame, samples: DataFrame) -> Data
     return out.drop("sample", *[f"{x}{n}" for n in (8, 7, 5, 4, 2) for x in "cn"])
 
 
-def similar(vectors: DataFrame, index: Index, k: int = V.TOP_LOTS, eligible: DataFrame | None = None, pair_filter: Column | None = None) -> DataFrame:
+def similar(vectors: DataFrame, index: Index, k: int = V.TOP_LOTS, eligible: DataFrame | None = None, pair_filter: Column | None = None, asked: DataFrame | None = None, barred: DataFrame | None = None) -> DataFrame:
     """query_id, id, sim, place: the k most similar documents of each query with a positive similarity.
 
-    eligible: the documents (id and what pair_filter needs) that may be found, such as those before a date or on a platform."""
+    eligible: the documents (id and what pair_filter needs) that may be found, such as those before a date. asked: query_id and
+    what pair_filter needs of the queries, such as a platform. barred: query_id, id that must not be found."""
     found = index.postings.withColumnRenamed("w", "dw").join(vectors, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("dw")), 9).alias("sim")).filter("sim > 0")
-    if eligible is not None:
-        found = found.join(eligible, "id")
-        found = (found if pair_filter is None else found.filter(pair_filter)).select("query_id", "id", "sim")
+    found = found if eligible is None else found.join(eligible, "id")
+    found = found if asked is None else found.join(asked, "query_id")
+    found = (found if pair_filter is None else found.filter(pair_filter)).select("query_id", "id", "sim")
+    if barred is not None:
+        found = found.join(barred.select("query_id", "id"), ["query_id", "id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 

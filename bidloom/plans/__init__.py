@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from . import batch_queries, mart_queries, search_queries
+from . import batch_queries, card_queries, mart_queries, search_queries
 
-QUERIES = {**mart_queries.QUERIES, **search_queries.QUERIES, **batch_queries.QUERIES}
-ORACLES = {**mart_queries.ORACLES, **search_queries.ORACLES, **batch_queries.ORACLES}
+QUERIES = {**mart_queries.QUERIES, **search_queries.QUERIES, **batch_queries.QUERIES, **card_queries.QUERIES}
+ORACLES = {**mart_queries.ORACLES, **search_queries.ORACLES, **batch_queries.ORACLES, **card_queries.ORACLES}

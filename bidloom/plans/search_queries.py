@@ -70,11 +70,11 @@ class Scene:
     def codes8(self) -> DataFrame:
         return M.supplier_codes(self.bids, self.items, self.lots, CUTOFF, 8).withColumnRenamed("okpd2_code", "code8")
 
-    def features(self) -> DataFrame:
+    def features(self, **filters) -> DataFrame:
         classes = self.given.select("query_id", F.substring("code8", 1, 5).alias("cls")).distinct()
         return R.features(
             self.cards, R.from_similar_lots(self.matched, self.lots, self.bids, self.day, MARKET), R.from_codes(self.shares, self.codes8()),
-            R.customer_history(self.cards, classes, self.lots, self.bids, self.lot_codes, self.day), M.supplier_profile(self.bids, self.lots, CUTOFF, MARKET), self.day, MARKET,
+            R.customer_history(self.cards, classes, self.lots, self.bids, self.lot_codes, self.day), M.supplier_profile(self.bids, self.lots, CUTOFF, MARKET), self.day, MARKET, **filters,
         )
 
     def confidence(self) -> DataFrame:

@@ -3,9 +3,12 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from bidloom.functions import fixed_values as V
 from bidloom.functions import scalars as S
 from bidloom.operators import batch as B
+from bidloom.operators import marts
 from bidloom.sources import extracts as X
 
 CSV = """procedure_id;procedure_name;product_name;okpd2_code;start_price;customer_inn;platform;is_smp
@@ -89,3 +92,26 @@ def test_scalars(spark):
     assert one(S.short_name, a='ОБЩЕСТВО С ОГРАНИЧЕННОЙ ОТВЕТСТВЕННОСТЬЮ "СКАЙ"', b="1234567890") == 'ООО "СКАЙ"'
     assert one(S.short_name, a="ИВАНОВ ИВАН", b="123456789012") == "ИП Иванов Иван"
     assert [one(lambda c: S.plural(c, "тур", "тура", "туров"), a=n) for n in (1, 3, 11, 25)] == ["1 тур", "3 тура", "11 туров", "25 туров"]
+
+
+def test_pasted_lists_of_any_shape(spark):
+    rows = [(0, None), (1, ""), (2, " \n\r\n"), (3, "доска; сосна\t16.10\n бумага ;x\n17.12.1\nклей;20.52;")]
+    got = {r["id"]: [tuple(x) for x in r["items"]] for r in spark.createDataFrame(rows, "id int, text string").select("id", B.listed_items(F.col("text")).alias("items")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [("доска; сосна", "16.10"), ("бумага; x", ""), ("17.12.1", ""), ("клей; 20.52; ", "")]}
+
+
+def test_exports_of_a_batch_without_results(spark):
+    procs = spark.createDataFrame([(1, "P1", None, "", ["a", "b"])], "query_id int, procedure_id string, lot_id string, text string, items array<string>")
+    ranked = spark.createDataFrame([], "query_id int, place int, inn string, score double, company_name string")
+    external = spark.createDataFrame([(1, 1, "77", 5.0)], "query_id int, place int, inn string, score double")
+    shares, kinds = spark.createDataFrame([], "query_id int, code8 string, place int"), spark.createDataFrame([(1, None)], "query_id int, intent string")
+    told = spark.createDataFrame([(1, "low", "m")], "query_id int, level string, message string")
+    assert [tuple(r) for r in B.headed(B.summary(procs, ranked, external, told, shares, kinds), V.SUMMARY_HEADINGS).collect()] == [("P1", "", "a; b", 2, "", "", "низкая", "m", 0, 1, "", "", "")]
+    table = B.headed(B.recommendations(procs, ranked, external), V.RECOMMENDATION_HEADINGS)
+    assert [tuple(r) for r in table.collect()] == [("P1", "", 1, "77", None, V.FROM_REGISTRY, None, None, 5.0, "", "", "", "")]
+
+
+def test_sample_is_the_same_however_rows_are_dealt(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "lot_id")
+    take = lambda df, seed=0: [r[0] for r in marts.hash_sample(df, "lot_id", 20, seed).collect()]
+    assert take(rows) == take(rows.repartition(7)) != take(rows, 1)

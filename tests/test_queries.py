@@ -19,6 +19,8 @@ NAMES = [
     "lot_docs", "supplier_profile_asof", "supplier_okpd_code8_distinct", "okpd_sample_names", "supplier_top_class_share", "supplier_card_okpd", "supplier_relevant_lots", "balanced_lot_pool", "okved_mapping", "role_scores",
     "eval_hit_mrr", "price_fit", "inn_normalise", "price_normalise", "tfidf_topk", "lemma_class_prob", "okpd_intent_filtered", "code_prefix_expand", "candidate_features", "rnp_penalty", "confidence_level", "supplier_evidence", "newcomer_recall",
     "batch_grouping", "batch_problems", "batch_merge_outer", "lemma_freq", "factor_contributions", "reasons_text",
+    "platform_similar_lots", "smp_candidates", "status_reasons", "code_labels", "registry_merge", "short_names", "cleaned_subjects", "text_intents", "plural_forms", "pasted_items", "stacked_uploads", "batch_capped", "hash_sample", "stratified_sample",
+    "company_cards", "batch_summary", "batch_recommendations",
 ]
 
 
