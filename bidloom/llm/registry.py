@@ -10,6 +10,7 @@ from .ann import op5_nearest_neighbours
 from .embdups import OP9_SQL, op9_embedding_dedup
 from .html_text import op3_html_extraction
 from .licenses import OP10_SQL, op10_licenses
+from .langid import op11_language_id
 from .lm import op2_lm_scoring
 from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP1_SQL, op1_mixing
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_licenses": op10_licenses,
+        "op11_language_id": op11_language_id,
     }
 
 
