@@ -16,6 +16,7 @@ from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .pieces import op8_sentencepiece
 from .toxicity import op6_toxicity
+from .turns import op12_conversation_repair
 from .urls import op4_url_filter
 
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_licenses": op10_licenses,
         "op11_language_id": op11_language_id,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
