@@ -16,8 +16,9 @@ from .minhash import OP7_SQL, op7_minhash_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .pieces import op8_sentencepiece
 from .toxicity import op6_toxicity
-from .turns import op12_conversation_repair
+from .turns import OP12_SQL, op12_conversation_repair
 from .urls import op4_url_filter
+from .variants import OP13_SQL, op13_spelling_variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,8 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_licenses": op10_licenses,
         "op11_language_id": op11_language_id,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL, "op10_licenses": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_minhash_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL, "op10_licenses": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}

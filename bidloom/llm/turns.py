@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, slices, table, tidy, written
+from .variants import CRC32_SQL, crc32_sql
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows and characters of text in a block at most; a longer text is a block of its own.
@@ -388,3 +389,38 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = rows.select("conv_id").distinct().unionByName(found.report, allowMissingColumns=True).unionByName(digests(found.edits), allowMissingColumns=True)
     nothing = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
     return every.groupBy("conv_id").agg(*(F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in numbers), *(F.coalesce(F.max(c), F.lit(nothing[c])).alias(c) for c in texts))
+
+
+#: The same programme with whole audits: one recursive step a row, the least cost and audit for each state (0 nothing yet, 1 after s, 2 after u, 3 after a).
+OP12_SQL = f"""
+WITH RECURSIVE {CRC32_SQL.strip()},
+hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS filled FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS times, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+rows AS (SELECT *, CASE WHEN filled = '' THEN 'b' WHEN times > 1 THEN 'd' WHEN right(filled, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+report AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS size FROM rows GROUP BY conv_id),
+inserts AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', 'user:'), (1, 2, 5, 'I', 'user:'), (2, 3, 5, 'I', 'assistant:'), (3, 2, 5, 'I', 'user:')) AS t(old, mid, cost, code, piece)),
+edits AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS t(mid, c, new)),
+moves AS (
+  SELECT conv_id, k, i.old, i.mid AS new, i.cost + 2 AS cost, i.code || 'D' AS code, CASE WHEN i.piece = '' THEN [] ELSE [i.piece] END AS pieces FROM rows, inserts i
+  UNION ALL SELECT conv_id, k, i.old, e.new, i.cost + CASE WHEN fault = 't' THEN 5 ELSE 0 END, i.code || 'K', CASE WHEN i.piece = '' THEN [] ELSE [i.piece] END || [role || ':' || text] FROM rows r, inserts i, edits e WHERE e.mid = i.mid AND e.c = r.c AND fault IN ('', 't')
+  UNION ALL SELECT conv_id, k, i.old, j.mid, i.cost + 1 + CASE WHEN fault = 't' THEN 5 ELSE 0 END, i.code || 'R', CASE WHEN i.piece = '' THEN [] ELSE [i.piece] END || [j.piece || text] FROM rows, inserts i, inserts j WHERE j.old = i.mid AND j.code = 'I' AND fault IN ('', 't')),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS pieces FROM report
+  UNION ALL
+  SELECT conv_id, k, state, best.cost, best.audit, best.pieces FROM (
+    SELECT w.conv_id, w.k + 1 AS k, m.new AS state, min({{'cost': w.cost + m.cost, 'audit': w.audit || m.code, 'pieces': w.pieces || m.pieces}}) AS best
+    FROM walk w JOIN moves m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.k = w.k + 1 AND m.old = w.state GROUP BY w.conv_id, w.k, m.new)),
+ends AS (SELECT * FROM (VALUES (0, 0, '', []), (1, 10, 'II', ['user:', 'assistant:']), (2, 5, 'I', ['assistant:']), (3, 0, '', [])) AS t(state, cost, code, pieces)),
+ended AS (
+  SELECT w.conv_id, min({{'cost': w.cost + e.cost, 'audit': w.audit || e.code, 'pieces': w.pieces || e.pieces}}) AS best
+  FROM walk w JOIN report r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.k = r.size JOIN ends e USING (state) GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.pieces, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN report r ON o.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
