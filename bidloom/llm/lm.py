@@ -191,9 +191,9 @@ def packed(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "shard", "keys", "sums"), columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
-def unpacked(keys: bytes, sums: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(kind: int, keys: bytes, sums: bytes) -> tuple[np.ndarray, np.ndarray]:
     k = np.cumsum(np.frombuffer(keys, np.uint64), dtype=np.uint64)
-    return k, np.frombuffer(sums, np.int64).reshape(-1, len(k)).T if len(k) else np.zeros((0, 1), np.int64)
+    return k, np.frombuffer(sums, np.int64).reshape(-1, len(k)).T if len(k) else np.zeros((0, WIDTHS.get(kind, 1)), np.int64)
 
 
 def summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def merge_shard(kind: int):
     """Sums of the rows of a shard; contexts without a stored trigram go. For words, also a row of counts."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [unpacked(*x) for x in zip(t.column("keys").to_pylist(), t.column("sums").to_pylist(), strict=True)]
+        parts = [unpacked(kind, *x) for x in zip(t.column("keys").to_pylist(), t.column("sums").to_pylist(), strict=True)]
         keys, sums = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         shard = t.column("shard")[0].as_py()
         if kind == CONTEXTS:
@@ -351,7 +351,7 @@ def publish(tables: list[DataFrame], of_pairs: np.ndarray, of_triples: np.ndarra
         for b in batches:
             for kind, shard, keys, sums in zip(*(b.column(c) for c in ("kind", "shard", "keys", "sums")), strict=True):
                 kind, shard = kind.as_py(), shard.as_py()
-                data = file_of(kind, *unpacked(keys.as_py(), sums.as_py()), of_pairs, of_triples)
+                data = file_of(kind, *unpacked(kind, keys.as_py(), sums.as_py()), of_pairs, of_triples)
                 if folder is not None:
                     store(folder, kind, shard, data)
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([None if folder is not None else data], pa.binary())], ["kind", "shard", "data"])
@@ -449,7 +449,7 @@ def learn(docs: DataFrame, least: tuple[int, int] = LEAST, shard_bytes: int = SH
     base, folder = model_folder(spark)
     kept = lambda df, path: written(df, "zstd", path, LARGE_ROWS)
     of = lambda df, kind: df.filter(F.col("kind") == kind)
-    stats = lambda df, like: sum((unpacked(r["keys"], r["sums"])[1] for r in of(df, STATS).collect()), np.zeros(like, np.int64))
+    stats = lambda df, like: sum((unpacked(STATS, r["keys"], r["sums"])[1] for r in of(df, STATS).collect()), np.zeros(like, np.int64))
     counted = kept(count_triples(docs, shards).groupBy("shard").applyInArrow(learn_shard(least, shards, folder), PACKED), paths[0])
     released(spark)
     with few_rows_at_once(spark):

@@ -100,3 +100,19 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(df, F.lit(False)).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == got[1].train_tokens == 0 and got[1].score == 0 and got[2].base_score == pytest.approx(0)
+
+
+@pytest.mark.parametrize("least", [(2, 2), (1, 1)])
+@pytest.mark.parametrize("rows", [
+    [(1, "the cat sat on the mat")],
+    [(k, " ".join(f"w{30 * k + j}" for j in range(30))) for k in range(5)],
+    [(k, " ".join(f"w{(7 * k + j) % 200}" for j in range(200))) for k in range(20)],
+    [(0, "x"), (None, None), (None, "x")],
+    [(0, None)],
+])
+def test_small_tables(spark, rows, least):
+    """Shards without a repeated trigram, and without any row."""
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), least).collect()
+    slow = Slow([t for _, t in rows], least)
+    want = [sum(math.log10(slow.p(*x)) for x in zip(["<s>", "<s>", *tokens(t)], ["<s>", *tokens(t)], tokens(t))) for _, t in rows]
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want), rel=1e-5)
