@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import LARGE_ROWS, binary_list, dropped, few_rows_at_once, fresh_path, mix64, released, table, tidy, trimmed, written
 
 #: Least continuation count of a stored pair and least count of a stored trigram.
-LEAST = (2, 2)
+LEAST = (1, 1)
 #: Bytes of text that one shard answers for; tokens that a task counts or looks up at a time; words whose hash a worker remembers.
 SHARD_BYTES, COUNTED, LOOKED_UP, REMEMBERED = 8 << 20, 1_000_000, 200_000, 200_000
 #: Hashes of what no word is: the end of a text and what stands before it.
