@@ -1,6 +1,7 @@
 """Registered queries and the SQL that checks them."""
 
-from . import batch_queries, card_queries, mart_queries, search_queries
+from . import batch_queries, card_queries, mart_queries, parser_queries, search_queries
 
-QUERIES = {**mart_queries.QUERIES, **search_queries.QUERIES, **batch_queries.QUERIES, **card_queries.QUERIES}
-ORACLES = {**mart_queries.ORACLES, **search_queries.ORACLES, **batch_queries.ORACLES, **card_queries.ORACLES}
+MODULES = (mart_queries, search_queries, batch_queries, card_queries, parser_queries)
+QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

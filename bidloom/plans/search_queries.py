@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import fixed_values as V
+from bidloom.functions.lineage import fresh_folder
 from bidloom.functions.scalars import intent, level, terms
 from bidloom.operators import companies as C
 from bidloom.operators import evaluation as E
@@ -13,6 +14,8 @@ from bidloom.operators import language as L
 from bidloom.operators import marts as M
 from bidloom.operators import ranking as R
 from bidloom.operators import retrieval as T
+from bidloom.operators import search_index as S
+from bidloom.operators.search import Search, lot_index
 from bidloom.plans.mart_queries import SO, _codes_sql, with_
 from bidloom.sources import standin as D
 from bidloom.sources.standin import CARDS_SQL, CUTOFF, MARKET, REGISTRY_SQL
@@ -48,40 +51,13 @@ def lemma_class_prob(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("lemma").alias("token"), "cls", F.round("p", 6).alias("p"), "place")
 
 
-class Scene:
-    """The tables and intermediate results that the queries of this module share, built on demand."""
-
-    def __init__(self, spark: SparkSession, d: str):
-        self.day = F.lit(CUTOFF).cast("date")
-        self.lots, self.items, self.bids = D.lots(spark, d), D.items(spark, d), D.bids(spark, d)
-        self.cards, self.registry = D.cards(spark, d), D.registry(spark, d)
-        self.history = M.before(self.lots, CUTOFF)
-        self.index = T.fit(T.lot_terms(M.lot_docs(self.lots, self.items)), 2, MAX_DF)
-        self.lot_codes = self.items.filter("okpd2_code is not null").select("lot_id", level(F.col("okpd2_code"), 8).alias("code8")).distinct()
-        words = terms(F.col("text")), F.flatten(F.transform(F.col("spec.product_name"), lambda x: terms(x)))
-        self.query_terms = self.cards.select("query_id", F.explode(words[0]).alias("term"), F.lit(1.0).alias("weight")).union(self.cards.select("query_id", F.explode(words[1]).alias("term"), F.lit(0.7).alias("weight")))
-        vectors = T.query_vectors(self.query_terms, self.index.idf, weighted=True)
-        self.vectors = vectors
-        self.similar = T.similar(vectors, self.index, V.TOP_LOTS, self.history.select(F.col("lot_id").alias("id")))
-        self.given = T.given_shares(self.cards)
-        self.shares = T.expanded(self.given, self.lot_codes.select("code8").union(M.item_counts(self.items).select("code8")))
-        self.matched = R.code_matches(self.similar, self.lot_codes, self.shares)
-
-    def codes8(self) -> DataFrame:
-        return M.supplier_codes(self.bids, self.items, self.lots, CUTOFF, 8).withColumnRenamed("okpd2_code", "code8")
-
-    def features(self, **filters) -> DataFrame:
-        classes = self.given.select("query_id", F.substring("code8", 1, 5).alias("cls")).distinct()
-        return R.features(
-            self.cards, R.from_similar_lots(self.matched, self.lots, self.bids, self.day, MARKET), R.from_codes(self.shares, self.codes8()),
-            R.customer_history(self.cards, classes, self.lots, self.bids, self.lot_codes, self.day), M.supplier_profile(self.bids, self.lots, CUTOFF, MARKET), self.day, MARKET, **filters,
-        )
-
-    def confidence(self) -> DataFrame:
-        return T.confidence(self.similar, self.query_terms.select("query_id", "term"), self.index, F.lit(True))
-
-    def ranked(self, limit: int | None = 20) -> DataFrame:
-        return R.status(R.scored(self.features(), self.confidence(), limit))
+class Scene(Search):
+    """The search over the stand-in tables, with what the queries of this module need besides. Its few words stand in many lots, so that more of them are kept."""
+
+    def __init__(self, spark: SparkSession, d: str, index: S.Kept | None = None):
+        lots, items = D.lots(spark, d), D.items(spark, d)
+        super().__init__(D.cards(spark, d), lots, items, D.bids(spark, d), CUTOFF, MARKET, index, max_df=MAX_DF)
+        self.registry = D.registry(spark, d)
 
     def item_index(self) -> tuple[T.Index, DataFrame]:
         rows = M.item_counts(self.items).withColumn("id", F.xxhash64("product_name", "code8"))
@@ -177,6 +153,27 @@ def reasons_text(spark: SparkSession, d: str) -> DataFrame:
     return R.reasons(Scene(spark, d).ranked(), MARKET).select("query_id", "inn", "place", F.array_join("reasons", " | ").alias("reasons"))
 
 
+def supplier_evidence_own(spark: SparkSession, d: str) -> DataFrame:
+    """The lots that speak for a supplier, with the customer's own one first."""
+    return Scene(spark, d).evidence().select("query_id", "inn", F.array_join(F.transform("evidence", lambda e: e["lot_id"].cast("string")), ",").alias("lots"))
+
+
+def kept_ranked_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """The best twenty suppliers of each procurement, read off a kept index to which the lots of the last year were added."""
+    lots, items = D.lots(spark, d), D.items(spark, d)
+    late = F.col("publish_date") >= F.lit("1999-01-01").cast("date")
+    index = lot_index(lots.filter(~late), items, fresh_folder(spark), 2, MAX_DF)
+    index = S.added(index, T.lot_terms(M.lot_docs(lots.filter(late), items)))
+    return Scene(spark, d, index).ranked().select("query_id", "place", "inn", "score")
+
+
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    """What a caller gets of each search, in parts that SQL can state: level, candidates, codes and suppliers with their first lots."""
+    rows = Scene(spark, d).responses()
+    supplier = lambda s: F.concat(s["inn"], F.lit(":"), s["status"], F.lit(":"), F.coalesce(F.get(s["evidence"], F.lit(0))["lot_id"].cast("string"), F.lit("")))
+    return rows.select("query_id", "level", "total_candidates", F.array_join("okpd2.code", ",").alias("codes"), F.array_join(F.transform("suppliers", supplier), ",").alias("suppliers"))
+
+
 def supplier_evidence(spark: SparkSession, d: str) -> DataFrame:
     scene = Scene(spark, d)
     return R.evidence(scene.matched, scene.lots, scene.bids, scene.cards).select("query_id", "inn", F.array_join(F.transform("evidence", lambda e: e["lot_id"].cast("string")), ",").alias("lots"))
@@ -213,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf_idf, tfidf_topk, vocab_token_counts, lemma_class_prob, similar_lots, okpd_vote_items, okpd_vote_lots, okpd_fused, okpd_intent_filtered, okpd_predicted, code_prefix_expand, lot_code_match,
-        candidate_features, ranked_suppliers, supplier_status, rnp_penalty, confidence_level, factor_contributions, reasons_text, supplier_evidence, new_company_scores, new_company_capped, newcomer_recall, company_cards,
+        candidate_features, ranked_suppliers, supplier_status, rnp_penalty, confidence_level, factor_contributions, reasons_text, supplier_evidence, supplier_evidence_own, kept_ranked_suppliers, search_responses, new_company_scores, new_company_capped, newcomer_recall, company_cards,
     )
 }
 
@@ -331,6 +328,17 @@ pm AS (SELECT query_id, inn, sum(weight * part) AS s, max(weight * part) AS matc
 news AS (SELECT query_id, inn, main5 AS okved5, region_code IN ('01', '02') AS local, match, round(s + 0.25::DOUBLE * ln(1 + employees) + CASE WHEN region_code = '01' THEN 0.2::DOUBLE ELSE 0 END, 9) AS pool_score
   FROM pm JOIN pool USING (inn) JOIN given g USING (query_id) WHERE g.place = 1 AND (CAST(substr(g.code8, 1, 2) AS INTEGER) <= 32 OR region_code IN ('01', '02')))"""
 
+_STATUS = """CASE WHEN coalesce(wins, 0) >= 3 AND (coalesce(em_parts, 0) < 3 OR em_wins / em_parts >= 0.25) THEN 'verified'
+ WHEN coalesce(wins, 0) >= 1 OR coalesce(code_wins, 0) >= 3 THEN 'experienced' WHEN coalesce(em_parts, 0) > 0 THEN 'participant' ELSE 'category' END"""
+
+#: A supplier's best lots of forty, and the customer's own lot first where none of them is the customer's.
+_OWN = f"""e0 AS (SELECT query_id, b.inn, id, sim, is_winner, coalesce(l.customer_inn = c.customer_inn, false) AS same, row_number() OVER (PARTITION BY query_id, b.inn ORDER BY sim DESC, id, is_winner DESC) AS n
+  FROM matched JOIN lots l ON l.lot_id = id JOIN bids b ON b.lot_id = id JOIN cards c USING (query_id) WHERE sim >= {V.SIMILAR_ENOUGH} AND match = 1.0),
+e1 AS (SELECT query_id, inn, id, same, row_number() OVER (PARTITION BY query_id, inn ORDER BY same DESC, is_winner DESC, sim DESC, id) AS rn FROM e0 WHERE n <= 40),
+e2 AS (SELECT query_id, inn, r.lot_id AS id, row_number() OVER (PARTITION BY query_id, inn ORDER BY is_winner DESC, publish_date DESC, r.lot_id) AS n FROM rel r JOIN bids USING (lot_id) JOIN lots USING (lot_id)),
+e3 AS (SELECT query_id, inn, id, rn FROM e1 WHERE rn <= 3 UNION ALL SELECT query_id, inn, id, 0 FROM e2 WHERE n = 1 AND (query_id, inn) NOT IN (SELECT (query_id, inn) FROM e1 WHERE rn <= 3 AND same)),
+e4 AS (SELECT query_id, inn, list(id ORDER BY rn)[:3] AS ids FROM e3 GROUP BY ALL)"""
+
 ORACLES = {
     "tfidf_idf": f"WITH {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM tidf",
     "tfidf_topk": f"WITH {_DOCS}, {_BENCH} SELECT query_id, id, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM bp WHERE place <= 10",
@@ -355,6 +363,12 @@ ORACLES = {
     "reasons_text": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + _REASONS,
     "supplier_evidence": with_(_SEARCH, f"""ev AS (SELECT query_id, b.inn, id, row_number() OVER (PARTITION BY query_id, b.inn ORDER BY coalesce(l.customer_inn = c.customer_inn, false) DESC, is_winner DESC, sim DESC, id) AS rn
   FROM matched JOIN lots l ON l.lot_id = id JOIN bids b ON b.lot_id = id JOIN cards c USING (query_id) WHERE sim >= {V.SIMILAR_ENOUGH} AND match = 1.0)""") + " SELECT query_id, inn, array_to_string(list(id ORDER BY rn), ',') AS lots FROM ev WHERE rn <= 3 GROUP BY ALL",
+    "supplier_evidence_own": with_(_SEARCH, _FEATURES, _OWN) + " SELECT query_id, inn, array_to_string(ids, ',') AS lots FROM e4",
+    "kept_ranked_suppliers": with_(_SEARCH, _FEATURES, _CONFIDENCE, _RANKED) + " SELECT query_id, CAST(place AS INTEGER) AS place, inn, score FROM ranked WHERE place <= 20",
+    "search_responses": with_(_SEARCH, _FEATURES, _OWN, _CONFIDENCE, _RANKED, """tot AS (SELECT query_id, count(*) AS total_candidates FROM ranked GROUP BY query_id),
+gc AS (SELECT query_id, string_agg(code8, ',' ORDER BY place) AS codes FROM given GROUP BY query_id),
+sup AS (SELECT query_id, string_agg(inn || ':' || st || ':' || coalesce(CAST(ids[1] AS VARCHAR), ''), ',' ORDER BY place) AS suppliers FROM (SELECT query_id, inn, place, STATUS AS st FROM ranked WHERE place <= 20) LEFT JOIN e4 USING (query_id, inn) GROUP BY query_id)""".replace("STATUS", _STATUS))
+        + " SELECT query_id, level, total_candidates, codes, suppliers FROM cards JOIN conf USING (query_id) LEFT JOIN gc USING (query_id) LEFT JOIN tot USING (query_id) LEFT JOIN sup USING (query_id)",
     "new_company_scores": with_(REGISTRY_SQL, _SEARCH, _NEW) + " SELECT query_id, inn, okved5, local, round(match, 6) AS match, round(pool_score, 6) AS pool_score FROM news",
     "newcomer_recall": with_(REGISTRY_SQL, _SEARCH, _NEW, "tr AS (SELECT CAST(region_code AS INTEGER) AS query_id, inn FROM registry)") + """ SELECT t.query_id, t.inn, CASE WHEN m.pool_score IS NULL THEN 0 ELSE 1 + (SELECT count(*) FROM news n WHERE n.query_id = t.query_id AND n.pool_score > m.pool_score) END AS rank
  FROM tr t LEFT JOIN news m ON m.query_id = t.query_id AND m.inn = t.inn""",
