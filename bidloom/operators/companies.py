@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,24 +112,21 @@ def pool_scores(plans: DataFrame, pool: DataFrame, shares: DataFrame, market: Ma
 def diverse(scores: DataFrame, limit: int = 10, window: int = 40) -> DataFrame:
     """The best companies of each query, at most 60 % with one activity and 40 % from afar.
 
-    Each choice depends on those before it, so the bounded head of a query's ranking (limit * window rows) is walked in one pandas call."""
+    Each choice depends on those before it, so the bounded head of a query's ranking (limit * window rows) is folded over one array."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pool_score"), "inn"))
     head = scores.withColumn("place", place).filter(F.col("place") <= limit * window)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_activity: dict[str, int] = {}
-        far, taken = 0, []
-        for i, ok, local in zip(pdf.sort_values("place").index, *(pdf.sort_values("place")[c] for c in ("okved5", "local")), strict=True):
-            if len(taken) == limit:
-                break
-            if by_activity.get(ok, 0) >= max(2, int(limit * 0.6)) or not local and far >= max(1, int(limit * 0.4)):
-                continue
-            by_activity[ok] = by_activity.get(ok, 0) + 1
-            far += not local
-            taken.append(i)
-        return pdf.loc[taken].assign(place=range(1, len(taken) + 1))
-
-    return head.groupBy("query_id").applyInPandas(walk, head.schema)
+    columns = [c for c in head.columns if c not in ("query_id", "place")]
+    ranked = head.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", *columns))).alias("ranked"))
+
+    def take(taken: Column, x: Column) -> Column:
+        alike = F.size(F.filter(taken, lambda t: t["okved5"].eqNullSafe(x["okved5"])))
+        afar = F.size(F.filter(taken, lambda t: ~t["local"]))
+        fits = (F.size(taken) < limit) & (alike < max(2, int(limit * 0.6))) & (x["local"] | (afar < max(1, int(limit * 0.4))))
+        return F.when(fits, F.concat(taken, F.array(x))).otherwise(taken)
+
+    none = F.slice("ranked", 1, 0)
+    chosen = ranked.select("query_id", F.posexplode(F.aggregate("ranked", none, take)).alias("at", "x"))
+    return chosen.select("query_id", *[F.col(f"x.{c}") for c in columns], (F.col("at") + 1).alias("place")).select(*head.columns)
 
 
 def new_company_points(rows: DataFrame, registry: DataFrame, unfair: DataFrame, market: Market = Market()) -> DataFrame:

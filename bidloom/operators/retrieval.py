@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,19 +142,26 @@ def intent_votes(votes: DataFrame, intents: DataFrame) -> DataFrame:
 def absorbed(votes: DataFrame) -> DataFrame:
     """A code of five characters or more that begins others gives its votes to the strongest of them; the shortest goes first.
 
-    Each step changes what the next one sees, so a query's few hundred codes are folded in one pandas call."""
+    Each step changes what the next one sees, so a query's few hundred codes are one array, which the short ones fold; in
+    order of the codes, those that one begins come right after it."""
+    held = F.sort_array(F.collect_list(F.struct("code8", F.length("code8").alias("size"), "votes", "matched_item")))
+    begins = F.filter("held", lambda x, i: (x["size"] >= 5) & F.coalesce(F.get("held", i + 1)["code8"].startswith(x["code8"]), F.lit(False)))
+    short = F.sort_array(F.transform(begins, lambda x: F.struct(x["size"].alias("size"), x["code8"].alias("code8"))))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(pdf["code8"], pdf["votes"], strict=True))
-        for short in sorted(held, key=lambda c: (len(c), c)):
-            longer = [c for c in held if len(short) >= 5 and c != short and c.startswith(short)]
-            if longer:
-                held[max(longer, key=lambda c: (held[c], c))] += held.pop(short)
-        out = pdf[pdf["code8"].isin(held)].copy()
-        out["votes"] = out["code8"].map(held)
-        return out
+    def give(codes: Column, x: Column) -> Column:
+        own = F.get(F.filter(codes, lambda c: c["code8"] == x["code8"]), F.lit(0))["votes"]
+        longer = F.filter(codes, lambda c: (c["size"] > x["size"]) & c["code8"].startswith(x["code8"]))
+        heir = F.array_max(F.transform(longer, lambda c: F.struct(c["votes"].alias("votes"), c["code8"].alias("code8"))))["code8"]
 
-    return votes.groupBy("query_id").applyInPandas(fold, votes.schema)
+        def left(to: Column) -> Column:
+            got = lambda c: F.when(c["code8"] == to["code8"], c["votes"] + to["votes"]).otherwise(c["votes"])
+            return F.transform(F.filter(codes, lambda c: c["code8"] != x["code8"]), lambda c: F.struct(c["code8"].alias("code8"), c["size"].alias("size"), got(c).alias("votes"), c["matched_item"].alias("matched_item")))
+
+        # an array of one, whose element is computed once and not again for each code
+        return F.get(F.transform(F.array(F.struct(heir.alias("code8"), own.alias("votes"))), lambda to: F.when(to["code8"].isNotNull(), left(to)).otherwise(codes)), F.lit(0))
+
+    rows = votes.groupBy("query_id").agg(held.alias("held")).withColumn("short", short)
+    return rows.select("query_id", F.inline(F.aggregate("short", F.col("held"), give))).select(*votes.columns)
 
 
 def code_shares(votes: DataFrame, most: int = 5, least: float = 0.15) -> DataFrame:

@@ -328,6 +328,23 @@ pm AS (SELECT query_id, inn, sum(weight * part) AS s, max(weight * part) AS matc
 news AS (SELECT query_id, inn, main5 AS okved5, region_code IN ('01', '02') AS local, match, round(s + 0.25::DOUBLE * ln(1 + employees) + CASE WHEN region_code = '01' THEN 0.2::DOUBLE ELSE 0 END, 9) AS pool_score
   FROM pm JOIN pool USING (inn) JOIN given g USING (query_id) WHERE g.place = 1 AND (CAST(substr(g.code8, 1, 2) AS INTEGER) <= 32 OR region_code IN ('01', '02')))"""
 
+#: Short codes give their votes away one after another: the state is a query's list of codes.
+_ABSORBED = """fz AS (SELECT query_id, code8, votes FROM fl WHERE NOT led OR fits),
+sh AS (SELECT query_id, list(code8 ORDER BY length(code8), code8) AS codes FROM fz s WHERE length(code8) >= 5 AND EXISTS (SELECT 1 FROM fz o WHERE o.query_id = s.query_id AND o.code8 <> s.code8 AND starts_with(o.code8, s.code8)) GROUP BY query_id),
+ab AS (SELECT query_id, 1 AS i, coalesce(codes, []) AS codes, list({'c': code8, 'v': votes}) AS st FROM fz LEFT JOIN sh USING (query_id) GROUP BY ALL
+  UNION ALL SELECT query_id, i + 1, codes, list_transform(list_filter(st, lambda x: x.c <> codes[i]), lambda x: CASE WHEN x.c = heir THEN {'c': x.c, 'v': x.v + own} ELSE x END)
+  FROM (SELECT *, list_filter(st, lambda x: x.c = codes[i])[1].v AS own, list_sort(list_transform(list_filter(st, lambda x: x.c <> codes[i] AND starts_with(x.c, codes[i])), lambda x: {'v': x.v, 'c': x.c}), 'DESC')[1].c AS heir FROM ab WHERE i <= len(codes))),
+ax AS (SELECT query_id, x.c AS code8, x.v AS votes FROM (SELECT query_id, unnest(arg_max(st, i)) AS x FROM ab GROUP BY query_id)),
+ay AS (SELECT *, votes / sum(votes) OVER (PARTITION BY query_id) AS share, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, code8) AS place FROM ax)"""
+
+#: The walk that spreads new companies over activities and regions: the state is the list of those taken.
+_CAPPED = """wk AS (SELECT query_id, 1 AS i, list({'inn': inn, 'okved5': okved5, 'near': local, 'match': match} ORDER BY pool_score DESC, inn)[:400] AS r, list({'inn': inn, 'okved5': okved5, 'near': local, 'match': match})[:0] AS taken FROM news GROUP BY query_id
+  UNION ALL SELECT query_id, i + 1, r, CASE WHEN len(list_filter(taken, lambda t: t.okved5 IS NOT DISTINCT FROM r[i].okved5)) < 6 AND (r[i].near OR len(list_filter(taken, lambda t: NOT t.near)) < 4) THEN list_append(taken, r[i]) ELSE taken END FROM wk WHERE i <= len(r) AND len(taken) < 10),
+cap AS (SELECT query_id, unnest(arg_max(taken, i)) AS x, generate_subscripts(arg_max(taken, i), 1) AS place FROM wk GROUP BY query_id),
+pts AS (SELECT query_id, place, inn, x.okved5 AS okved5, round(round(least(25::DOUBLE * x.match, 50.0), 1) + round(15::DOUBLE * least(ln(1 + coalesce(employees, 0)) / ln(101.0), 1.0), 1)
+  + CASE WHEN TRY_CAST(right(coalesce(msp_since, ''), 4) AS INTEGER) <= 2023 THEN 5.0 WHEN TRY_CAST(right(coalesce(msp_since, ''), 4) AS INTEGER) IS NOT NULL THEN 2.0 ELSE 0.0 END
+  + CASE region_code WHEN '01' THEN 5.0 WHEN '02' THEN 3.0 ELSE 0.0 END + CASE WHEN phone IS NOT NULL THEN 5.0 ELSE 0.0 END, 1)::DOUBLE AS points FROM cap JOIN registry ON registry.inn = x.inn)"""
+
 _STATUS = """CASE WHEN coalesce(wins, 0) >= 3 AND (coalesce(em_parts, 0) < 3 OR em_wins / em_parts >= 0.25) THEN 'verified'
  WHEN coalesce(wins, 0) >= 1 OR coalesce(code_wins, 0) >= 3 THEN 'experienced' WHEN coalesce(em_parts, 0) > 0 THEN 'participant' ELSE 'category' END"""
 
@@ -369,6 +386,10 @@ ORACLES = {
 gc AS (SELECT query_id, string_agg(code8, ',' ORDER BY place) AS codes FROM given GROUP BY query_id),
 sup AS (SELECT query_id, string_agg(inn || ':' || st || ':' || coalesce(CAST(ids[1] AS VARCHAR), ''), ',' ORDER BY place) AS suppliers FROM (SELECT query_id, inn, place, STATUS AS st FROM ranked WHERE place <= 20) LEFT JOIN e4 USING (query_id, inn) GROUP BY query_id)""".replace("STATUS", _STATUS))
         + " SELECT query_id, level, total_candidates, codes, suppliers FROM cards JOIN conf USING (query_id) LEFT JOIN gc USING (query_id) LEFT JOIN tot USING (query_id) LEFT JOIN sup USING (query_id)",
+    "okpd_predicted": with_(_SEARCH, _VOTES, _ABSORBED).replace("WITH ", "WITH RECURSIVE ", 1)
+        + " SELECT query_id, code8, round(share, 3) AS share, CAST(place AS INTEGER) AS place, matched_item FROM ay LEFT JOIN vi USING (query_id, code8) WHERE place <= 5 AND share >= 0.15 * (SELECT max(share) FROM ay t WHERE t.query_id = ay.query_id)",
+    "new_company_capped": with_(REGISTRY_SQL, _SEARCH, _NEW, _CAPPED).replace("WITH ", "WITH RECURSIVE ", 1)
+        + " SELECT query_id, CAST(place AS INTEGER) AS place, inn, okved5, CASE WHEN inn LIKE '%7' THEN round(points * 0.5, 1) ELSE points END AS score FROM pts",
     "new_company_scores": with_(REGISTRY_SQL, _SEARCH, _NEW) + " SELECT query_id, inn, okved5, local, round(match, 6) AS match, round(pool_score, 6) AS pool_score FROM news",
     "newcomer_recall": with_(REGISTRY_SQL, _SEARCH, _NEW, "tr AS (SELECT CAST(region_code AS INTEGER) AS query_id, inn FROM registry)") + """ SELECT t.query_id, t.inn, CASE WHEN m.pool_score IS NULL THEN 0 ELSE 1 + (SELECT count(*) FROM news n WHERE n.query_id = t.query_id AND n.pool_score > m.pool_score) END AS rank
  FROM tr t LEFT JOIN news m ON m.query_id = t.query_id AND m.inn = t.inn""",
