@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,11 +43,25 @@ def metrics(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") > 0, 1.0).otherwise(0.0)), 4).alias("hit"), F.round(F.avg(F.when(F.col("rank") > 0, 1 / F.col("rank")).otherwise(0.0)), 4).alias("mrr"), F.round(F.avg(F.greatest("recall", F.lit(0.0))), 4).alias("recall"))
 
 
-def bootstrap(values: np.ndarray, n: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """95 % interval of the mean of per-query values, by resampling."""
-    rng = np.random.default_rng(seed)
-    means = np.array([values[rng.integers(0, len(values), len(values))].mean() for _ in range(n)])
-    return float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
+#: Cumulative probabilities of Poisson counts 0, 1, ... with mean one.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10))
+
+
+def replicates(values: DataFrame, n: int = 1000, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """replicate and the mean of each column in each of n resamples. values: key (distinct) and the columns.
+
+    A row's weight in a resample is a Poisson count drawn by hash of key and number, which stands in for drawing as many rows
+    with replacement: one aggregation over n groups, summed up before the shuffle."""
+    part = F.conv(F.substring(F.md5(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("replicate").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: F.col("part") >= p))
+    rows = values.select("key", *columns, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")).withColumn("part", part).withColumn("weight", weight).filter("weight > 0")
+    return rows.groupBy("replicate").agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in columns])
+
+
+def interval(values: DataFrame, n: int = 1000, columns: tuple[str, ...] = ("value",), share: float = 0.95) -> DataFrame:
+    """One row: of each column the ends of the interval that holds so many of the resampled means, as c_low and c_high."""
+    ends = (1 - share) / 2, (1 + share) / 2
+    return replicates(values, n, columns).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in columns for name, q in zip(("low", "high"), ends, strict=True)])
 
 
 def newcomers(lots: DataFrame, bids: DataFrame, since: str) -> DataFrame:

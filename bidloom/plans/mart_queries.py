@@ -234,6 +234,16 @@ def eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
     return E.metrics(E.ranks(truth, baseline_customer_okpd(spark, d)))
 
 
+def eval_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Within which bounds the hit rate and the reciprocal rank of the baseline lie, by 200 resamples of the lots."""
+    lots, _, bids = _three(spark, d)
+    truth = M.grouped_bids(lots, bids, CUTOFF).select(F.col("lot_id").alias("query_id"), "winners", "participants")
+    ranks = E.ranks(truth, baseline_customer_okpd(spark, d))
+    values = ranks.select(F.col("query_id").alias("key"), F.when(F.col("rank") > 0, 1.0).otherwise(0.0).alias("hit"), F.when(F.col("rank") > 0, 1 / F.col("rank")).otherwise(0.0).alias("mrr"))
+    found = E.interval(values, 200, ("hit", "mrr"))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
 def newcomer_share(spark: SparkSession, d: str) -> DataFrame:
     lots, _, bids = _three(spark, d)
     return E.newcomers(lots, bids, "1995-01-03").groupBy("inn").agg(F.count("*").alias("lots"))
@@ -267,7 +277,7 @@ QUERIES = {
         lots_projection, items_projection, participations_filtered, lot_docs, supplier_profile, supplier_profile_asof, supplier_okpd, supplier_okpd_code8_sum, supplier_okpd_code8_distinct,
         okpd_sample_names, item_name_code_counts, supplier_class_breadth, supplier_top_class_share, supplier_class_wins, customer_class_suppliers, lot_bidder_counts, lots_with_winner_semi,
         unregistered_suppliers_anti, supplier_card_okpd, supplier_relevant_lots, lot_participants, balanced_lot_pool, stratified_sample, customer_history, okved_mapping, role_scores,
-        baseline_top_okpd, baseline_customer_okpd, eval_hit_mrr, newcomer_share, price_fit, inn_normalise, price_normalise, price_by_day,
+        baseline_top_okpd, baseline_customer_okpd, eval_hit_mrr, eval_interval, newcomer_share, price_fit, inn_normalise, price_normalise, price_by_day,
     )
 }
 
@@ -309,6 +319,9 @@ ORACLES = {
     "baseline_top_okpd": with_(_BASE) + " SELECT query_id, inn, CAST(place AS INTEGER) AS place FROM bc WHERE place <= 10",
     "baseline_customer_okpd": with_(_BASE) + " SELECT query_id, inn, CAST(place AS INTEGER) AS place FROM bcr WHERE place <= 10",
     "eval_hit_mrr": with_(_BASE) + " SELECT count(*) AS n, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0 END), 4) AS mrr, round(avg(recall), 4) AS recall FROM rk",
+    "eval_interval": with_(_BASE, f"""rp AS (SELECT CASE WHEN rank > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0 END AS mrr, r, CAST('0x' || substr(md5(query_id || ':' || r), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS part FROM rk, range(1, 201) AS t(r)),
+rw AS (SELECT *, {" + ".join(f"CASE WHEN part >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in E.POISSON)} AS w FROM rp), rm AS (SELECT r, sum(w * hit) / sum(w) AS hit, sum(w * mrr) / sum(w) AS mrr FROM rw GROUP BY r)""")
+        + " SELECT round(quantile_cont(hit, 0.025), 9) AS hit_low, round(quantile_cont(hit, 0.975), 9) AS hit_high, round(quantile_cont(mrr, 0.025), 9) AS mrr_low, round(quantile_cont(mrr, 0.975), 9) AS mrr_high FROM rm",
     "newcomer_share": with_("o AS (SELECT DISTINCT inn FROM bids JOIN lots USING (lot_id) WHERE publish_date < DATE '1995-01-03')") + " SELECT inn, count(DISTINCT lot_id) AS lots FROM bids JOIN lots USING (lot_id) WHERE is_winner AND publish_date >= DATE '1995-01-03' AND inn NOT IN (SELECT inn FROM o) GROUP BY inn",
     "price_fit": with_("buyers AS (SELECT c_nationkey AS query_id, round(avg(o_totalprice), 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)", "m AS (SELECT inn, median(start_price) AS m FROM bids JOIN lots USING (lot_id) GROUP BY inn)")
         + " SELECT inn, query_id, round(exp(-pow(ln(price / m), 2) / 4.5), 6) AS fit FROM m, buyers",

@@ -17,7 +17,7 @@ from bidloom.streaming.bids import bidders_by_window
 #: Run here; the others of the same kind are checked by the driver's own comparison.
 NAMES = [
     "lot_docs", "supplier_profile_asof", "supplier_okpd_code8_distinct", "okpd_sample_names", "supplier_top_class_share", "supplier_card_okpd", "supplier_relevant_lots", "balanced_lot_pool", "okved_mapping", "role_scores",
-    "eval_hit_mrr", "price_fit", "inn_normalise", "price_normalise", "tfidf_topk", "lemma_class_prob", "okpd_intent_filtered", "code_prefix_expand", "candidate_features", "rnp_penalty", "confidence_level", "supplier_evidence", "newcomer_recall",
+    "eval_hit_mrr", "price_fit", "inn_normalise", "price_normalise", "tfidf_topk", "lemma_class_prob", "okpd_intent_filtered", "code_prefix_expand", "candidate_features", "rnp_penalty", "confidence_level", "supplier_evidence", "newcomer_recall", "kept_index_topk", "okpd_predicted", "new_company_capped", "supplier_evidence_own", "extract_lots",
     "batch_grouping", "batch_problems", "batch_merge_outer", "lemma_freq", "factor_contributions", "reasons_text",
     "platform_similar_lots", "smp_candidates", "status_reasons", "code_labels", "registry_merge", "short_names", "cleaned_subjects", "text_intents", "plural_forms", "pasted_items", "stacked_uploads", "batch_capped", "hash_sample", "stratified_sample",
     "company_cards", "batch_summary", "batch_recommendations",
@@ -81,11 +81,23 @@ def test_balanced_pick_prefers_new_classes(spark):
     assert len(got) == 3 and {r.class_code for r in got if r.place <= 2} == {"07", "08"}
 
 
-def test_bootstrap_and_learned_weights(spark):
+def test_poisson_interval_is_that_of_resampling(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    hits = (rng.random(1000) < 0.3).astype(float)
+    means = np.array([hits[rng.integers(0, 1000, 1000)].mean() for _ in range(3000)])
+    df = spark.createDataFrame([(k, float(h), 2 * float(h)) for k, h in enumerate(hits)], "key long, value double, twice double")
+    got = evaluation.interval(df, 2000, ("value", "twice")).first()
+    assert abs(got.value_low - np.quantile(means, 0.025)) < 0.005 and abs(got.value_high - np.quantile(means, 0.975)) < 0.005
+    assert got.twice_low == pytest.approx(2 * got.value_low) and got.twice_high == pytest.approx(2 * got.value_high)
+    assert evaluation.replicates(df.limit(0)).count() == 0 and evaluation.interval(df.limit(0)).first().value_low is None
+    assert evaluation.POISSON[0] == pytest.approx(math.exp(-1)) and evaluation.POISSON[-1] == pytest.approx(1, abs=1e-6)
+
+
+def test_learned_weights(spark):
     import numpy as np
 
-    low, high = evaluation.bootstrap(np.array([0.0, 1.0] * 200))
-    assert low < 0.5 < high and high - low < 0.15
     rng = np.random.default_rng(0)
     x = rng.random((400, 2))
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": (x[:, 0] > 0.7).astype(int)}))
