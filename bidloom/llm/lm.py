@@ -41,7 +41,7 @@ from .common import LARGE_ROWS, binary_list, dropped, few_rows_at_once, fresh_pa
 #: Least continuation count of a stored pair and least count of a stored trigram.
 LEAST = (1, 1)
 #: Bytes of text that one shard answers for; tokens that a task counts or looks up at a time; words whose hash a worker remembers.
-SHARD_BYTES, COUNTED, LOOKED_UP, REMEMBERED = 8 << 20, 1_000_000, 200_000, 200_000
+SHARD_BYTES, COUNTED, LOOKED_UP, REMEMBERED = 4 << 20, 1_000_000, 200_000, 200_000
 #: Hashes of what no word is: the end of a text and what stands before it.
 END, BEGIN = (xxhash.xxh3_64_intdigest(x) >> 16 for x in (b" ", b"  "))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
