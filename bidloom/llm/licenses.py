@@ -33,33 +33,53 @@ LINE, SENTENCE, PARAGRAPH = r"[\n\r]+|[.!?]+(?=\s)", r"(?:\r\n?+|\n)[^\S\r\n]*[\
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
-#: Notices of common licenses, by label; sentences end in a full stop and a space.
+#: Notices of common licenses, by label; sentences end in a full stop and a space. Words in capitals and numbers after
+#: "version" must stand in a block.
 TEMPLATES = {
-    "agpl-3.0": "licensed under the gnu affero general public license version 3",
-    "apache-2.0": "licensed under the apache license version 2 0",
+    "agpl-3.0": "licensed under the gnu AFFERO general public license version 3",
+    "agpl-3.0-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu AFFERO general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "apache-2.0": "licensed under the APACHE license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages. ",
-    "bsl-1.0": "distributed under the boost software license version 1 0",
+    "bsl-1.0": "distributed under the BOOST software license version 1 0",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "cc-by-nc-4.0": "licensed under CC BY NC 4 0",
+    "cc-by-nc-4.0-text": "licensed under a creative commons attribution NONCOMMERCIAL 4 0 international license",
+    "cc-by-sa-4.0": "licensed under CC BY SA 4 0",
+    "cc-by-sa-4.0-text": "licensed under a creative commons attribution SHAREALIKE 4 0 international license",
     "cc0-1.0": "dedicated to the public domain under the creative commons cc0 1 0 universal waiver",
-    "epl-2.0": "made available under the terms of the eclipse public license 2 0",
+    "epl-2.0": "made available under the terms of the ECLIPSE public license 2 0",
+    "gnu-disclaimer": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-2.0": "licensed under the gnu general public license version 2",
+    "gpl-2.0-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-3.0": "licensed under the gnu general public license version 3",
-    "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version. this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose. ",
+    "gpl-3.0-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl-2.1": "licensed under the gnu lesser general public license version 2 1",
-    "mit": "released under the mit license",
+    "lgpl-2.1": "licensed under the gnu LESSER general public license version 2 1",
+    "lgpl-2.1-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu LESSER general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3.0": "licensed under the gnu LESSER general public license version 3",
+    "lgpl-3.0-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu LESSER general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mit": "released under the MIT license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software. ",
-    "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mpl-2.0": "subject to the terms of the MOZILLA public license v 2 0",
+    "unlicense": "this is free and UNENCUMBERED software released into the public domain",
 }
 
 
 def template_words(text: str) -> list[str]:
-    return re.sub(GAP, " ", text).split()
+    return re.sub(GAP, " ", text.lower()).split()
+
+
+def marked_words(text: str) -> list[str]:
+    """The words that a block must hold: those in capitals, and the number after "version"."""
+    return [w.lower() for w in re.findall(r"\b[A-Z][A-Z0-9]*\b|(?<=\bversion )\d+", text)]
+
+
+def wider(templates: dict[str, str]) -> dict[str, list[str]]:
+    """The templates, for each one, that hold all its words and more."""
+    words = {label: set(template_words(text)) for label, text in templates.items()}
+    return {a: [b for b in sorted(words) if words[a] < words[b]] for a in words}
 
 
 def of_sentences(text: str) -> bool:
@@ -94,17 +114,18 @@ def phrase_places(docs: DataFrame) -> DataFrame:
 
 
 def template_index(spark: SparkSession, counts: DataFrame, templates: dict[str, str], threshold: float) -> tuple[DataFrame, dict[str, int]]:
-    """(rank, at, label, n, need, long, ranks) for the prefix words of each template, and the rank of every template word.
+    """(rank, at, label, n, need, long, wider, must, ranks) for the prefix words of each template, and the rank of every template word.
 
     counts: word, n over the corpus. Its rows, and so what comes to the driver, are at most the words of the templates."""
     seen = {r["word"]: r["n"] for r in counts.collect()}
     words = sorted({w for t in templates.values() for w in template_words(t)}, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(words)}
-    rows = []
+    rows, over = [], wider(templates)
+    listed = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
     for label, text in sorted(templates.items()):
         ranks = sorted({rank[w] for w in template_words(text)})
         need = -int(-threshold * len(ranks) // 1)
-        rows += [F.struct(F.lit(r).alias("rank"), F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(len(ranks)).alias("n"), F.lit(need).alias("need"), F.lit(of_sentences(text)).alias("long"), F.array(*map(F.lit, ranks)).alias("ranks")) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+        rows += [F.struct(F.lit(r).alias("rank"), F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(len(ranks)).alias("n"), F.lit(need).alias("need"), F.lit(of_sentences(text)).alias("long"), listed(over[label], "string").alias("wider"), listed([rank[w] for w in marked_words(text)], "int").alias("must"), listed(ranks, "int").alias("ranks")) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
     return spark.range(1).select(F.inline(F.array(*rows))), rank
 
 
@@ -117,27 +138,37 @@ def contained_templates(docs: DataFrame, index: DataFrame, rank: dict[str, int],
     blocks = (
         docs.withColumn("low", ascii_lower(F.col("text")))
         .filter(F.col("low").rlike(rf"(?:^|{GAP[:-1]})(?:{'|'.join(prefix)})(?:$|{GAP[:-1]})"))
-        .select("doc_id", "mark", F.inline(F.concat(part(F.split("low", LINE), False, False), part(F.filter(F.split("low", SENTENCE), lambda x: x.rlike(r"[\n\r]")), True, False), part(F.split(F.replace("low", F.lit("\r\n"), F.lit("\n")), PARAGRAPH), False, True))))
+        .select("doc_id", "mark", F.posexplode(F.concat(part(F.split("low", LINE), False, False), part(F.filter(F.split("low", SENTENCE), lambda x: x.rlike(r"[\n\r]")), True, False), part(F.split(F.replace("low", F.lit("\r\n"), F.lit("\n")), PARAGRAPH), False, True))))
+        .select("doc_id", "mark", F.col("pos").alias("k"), "col.*")
         .filter(F.col("block").rlike("|".join(prefix)))
         .withColumn("words", F.split(spaced(F.col("block")), " "))
         .withColumn("known", F.array_intersect("words", vocabulary))
         .withColumn("held", F.array_sort(F.transform("known", lambda w: F.element_at(to_rank, w))))
         .withColumn("ordered", F.when(F.col("wrapped"), F.transform("words", lambda w: F.coalesce(F.element_at(to_rank, w), F.lit(-1)))))
-        .select("doc_id", "mark", "whole", "held", "ordered", F.posexplode("held").alias("place", "rank"))
+        .select("doc_id", "mark", "k", "whole", "held", "ordered", F.posexplode("held").alias("place", "rank"))
     )
     need_left = F.least(F.col("n") - F.col("at"), F.size("held") - F.col("place")) >= F.col("need")
     overlap = F.size(F.array_intersect("ranks", "held"))
-    close = F.array_max(F.transform(F.sequence(F.lit(1), F.size("ordered")), lambda i: F.size(F.array_intersect("ranks", F.slice("ordered", i, F.col("n") * 2)))))
-    return (
+    marked = lambda c: F.size(F.array_except("must", c)) == 0
+    near = lambda w: F.when(marked(w), F.size(F.array_intersect("ranks", w))).otherwise(0)
+    close = F.array_max(F.transform(F.sequence(F.lit(1), F.size("ordered")), lambda i: near(F.slice("ordered", i, F.col("n") * 2))))
+    matches = (
         blocks.join(F.broadcast(index), "rank")
-        .filter((F.col("whole") == F.col("long")) & (F.size("held") >= F.col("need")) & need_left)
+        .filter((F.col("whole") == F.col("long")) & (F.size("held") >= F.col("need")) & need_left & marked(F.col("held")))
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
         .withColumn("overlap", F.when(F.col("ordered").isNull(), F.col("overlap")).otherwise(close))
         .filter(F.col("overlap") >= F.col("need"))
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_set("label").alias("added"), F.max(F.col("overlap") / F.col("n")).alias("containment"))
     )
+    # A block has at most as many matches as there are templates; only matches are shuffled.
+    return (
+        matches.groupBy("doc_id", "mark", "k")
+        .agg(F.collect_set(F.struct("label", "wider", (F.col("overlap") / F.col("n")).alias("share"))).alias("found"))
+        .withColumn("own", F.filter("found", lambda x: ~F.arrays_overlap(x["wider"], F.transform("found", lambda y: y["label"]))))
+        .select("doc_id", "mark", F.inline("own"))
+        .groupBy("doc_id", "mark")
+        .agg(F.collect_set("label").alias("added"), F.max("share").alias("containment"))
+    )
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,20 +199,31 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    values = ", ".join(f"('{label}', string_split('{' '.join(template_words(text))}', ' '), {str(of_sentences(text)).lower()})" for label, text in TEMPLATES.items())
+    listed = lambda words: f"CAST({words} AS VARCHAR[])"
+    values = ", ".join(f"('{label}', {listed(template_words(text))}, {listed(marked_words(text))}, {str(of_sentences(text)).lower()})" for label, text in TEMPLATES.items())
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     return rf"""
-WITH t AS (SELECT label, list_distinct(w) AS w, long FROM (VALUES {values}) v(label, w, long)),
+WITH t AS (SELECT label, list_distinct(w) AS w, must, long FROM (VALUES {values}) v(label, w, must, long)),
+over AS (SELECT a.label, b.label AS wider FROM t a JOIN t b ON len(b.w) > len(a.w) AND len(list_intersect(a.w, b.w)) = len(a.w)),
 p AS (SELECT * FROM (VALUES {phrases}) v(phrase, label)),
 d AS (SELECT row_number() OVER () AS uid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 n AS (SELECT uid, doc_id, low, list_filter(regexp_split_to_array(low, '{gap}'), lambda x: x <> '') AS w FROM d),
 pos AS (SELECT uid, unnest(range(len(w))) AS i, w FROM n),
 hits AS (SELECT uid, i, p.label FROM pos, p WHERE list_slice(w, i + 1, i + len(string_split(p.phrase, ' '))) = string_split(p.phrase, ' ')),
 base AS (SELECT uid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY uid),
-b AS (SELECT uid, whole, list_distinct(list_filter(regexp_split_to_array(blk, '{gap}'), lambda x: x <> '')) AS w
-      FROM (SELECT uid, false AS whole, unnest(regexp_split_to_array(low, '[\n\r]+|[.!?]+\s')) AS blk FROM d UNION ALL SELECT uid, true, unnest(regexp_split_to_array(replace(low, chr(13) || chr(10), chr(10)), '{PARAGRAPH}')) FROM d)),
-c AS (SELECT b.uid, t.label, len(list_intersect(t.w, b.w)) AS o, len(t.w) AS n FROM b JOIN t ON b.whole = t.long),
-m AS (SELECT uid, list(DISTINCT label) AS added, max(o / n) AS containment FROM c WHERE o >= ceil({THRESHOLD} * n) GROUP BY uid)
+lf AS (SELECT uid, low, replace(low, chr(13) || chr(10), chr(10)) AS text FROM d),
+b AS (SELECT row_number() OVER () AS k, uid, kind, list_filter(regexp_split_to_array(blk, '{gap}'), lambda x: x <> '') AS words
+      FROM (SELECT uid, 'line' AS kind, unnest(regexp_split_to_array(low, '[\n\r]+|[.!?]+\s')) AS blk FROM lf
+            UNION ALL SELECT uid, 'wrapped', unnest(regexp_split_to_array(text, '[\n\r][ \t\x0B\f]*[\n\r][ \t\n\x0B\f\r]*|[.!?]+[ \t\n\x0B\f\r]')) FROM lf
+            UNION ALL SELECT uid, 'whole', unnest(regexp_split_to_array(text, '{PARAGRAPH}')) FROM lf)),
+c AS (SELECT b.k, uid, kind, t.label, t.w, must, words, len(list_intersect(t.w, list_distinct(words))) AS o, len(t.w) AS n
+      FROM b JOIN t ON (kind = 'whole') = t.long WHERE len(list_intersect(must, words)) = len(must)),
+e AS (SELECT k, uid, label, n, CASE WHEN kind = 'wrapped' THEN list_max(list_transform(range(1, len(words) + 1), lambda i:
+        CASE WHEN len(list_intersect(must, words[i:i + 2 * n - 1])) = len(must) THEN len(list_intersect(w, list_distinct(words[i:i + 2 * n - 1]))) ELSE 0 END)) ELSE o END AS o
+      FROM c WHERE o >= ceil({THRESHOLD} * n)),
+f AS (SELECT * FROM e WHERE o >= ceil({THRESHOLD} * n)),
+m AS (SELECT uid, list(DISTINCT label) AS added, max(o / n) AS containment FROM f
+      WHERE NOT EXISTS (SELECT 1 FROM over JOIN f AS g ON g.label = over.wider WHERE over.label = f.label AND g.k = f.k) GROUP BY uid)
 SELECT n.doc_id, CAST(len(n.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
