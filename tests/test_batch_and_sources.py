@@ -1,5 +1,6 @@
 """Uploaded tables, raw extracts, registry archives and saved pages."""
 
+import io
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from bidloom.functions import fixed_values as V
 from bidloom.functions import scalars as S
 from bidloom.operators import batch as B
 from bidloom.operators import marts
+from bidloom.sources import archives, workbooks
 from bidloom.sources import extracts as X
 
 CSV = """procedure_id;procedure_name;product_name;okpd2_code;start_price;customer_inn;platform;is_smp
@@ -32,6 +34,77 @@ def test_procurements_of_any_format(spark, data):
     assert sorted((r.procedure_id, r.problem[:14]) for r in problems.collect()) == [("1", "некорректные к"), ("3", "пустая закупка")]
 
 
+def workbook(rows, strings=(), styles="", sheet="worksheets/s7.xml"):
+    """The bytes of a workbook: its first sheet's rows as XML, shared strings as XML."""
+    out, ns = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="B" sheetId="2" r:id="r2"/><sheet name="A" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="{sheet}"/></Relationships>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>wrong</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s7.xml", f"<worksheet {ns}><sheetData>{''.join(rows)}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si>{x}</si>' for x in strings)}</sst>")
+        z.writestr("xl/styles.xml", f"<styleSheet {ns}>{styles}</styleSheet>")
+    return out.getvalue()
+
+
+def test_a_workbook_gives_the_procurements_of_its_text(spark):
+    table = [line.split(";") for line in CSV.strip().split("\n")]
+    strings = sorted({x for line in table for x in line if x})
+    name = lambda r, c: f"{chr(65 + c)}{r + 1}"
+    rows = [f'<row r="{r + 1}">' + "".join(f'<c r="{name(r, c)}" t="s"><v>{strings.index(x)}</v></c>' for c, x in enumerate(line) if x) + "</row>" for r, line in enumerate(table)]
+    book = B.recognised(X.read_upload(spark, workbook(rows, [f"<t>{x}</t>" for x in strings])))
+    text = B.recognised(X.read_upload(spark, CSV.encode()))
+    both = [[sorted(map(str, df.collect())) for df in B.procurements(B.merged([t]))] for t, _ in (book, text)]
+    assert both[0] == both[1] and book[1] == text[1] and both[0][0]
+
+
+def test_cells_of_workbooks(spark, tmp_path):
+    styles = '<numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/><numFmt numFmtId="165" formatCode="#,##0.00 &quot;days&quot;[Red]"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="14"/></cellXfs>'
+    rows = [
+        '<row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c t="s"><v>0</v></c></row><row r="3"/>',
+        '<row r="4"><c r="A4"><v>1</v></c><c r="B4" s="1"><v>45322</v></c><c r="C4" s="2"><v>12.50</v></c></row><row><c r="B5"><v>1E3</v></c><c t="b"><v>1</v></c></row>',
+        '<row r="9"><c r="C9" t="e"><v>#N/A</v></c><c r="B9" t="inlineStr"><is><r><t>x</t></r><r><t xml:space="preserve"> y</t></r><rPh><t>no</t></rPh></is></c></row><row r="10"><c r="C10" s="3" t="str"><v>f</v></c></row>',
+    ]
+    data = workbook(rows, ["<t> head </t>", "<r><t>ot</t></r><r><t>her</t></r><rPh><t>no</t></rPh>"], styles, "/xl/worksheets/s7.xml")
+    got = [tuple(r) for r in X.read_upload(spark, data).orderBy("row").collect()]
+    assert got == [(2, "2024-01-31 00:00:00", "12.5"), (3, "1000", "True"), (4, "x y", ""), (5, "", "f")]
+    (tmp_path / "a b").mkdir()
+    for k in "12":
+        (tmp_path / "a b" / f"{k}.xlsx").write_bytes(data)
+    (tmp_path / "a b" / "empty.xlsx").write_bytes(workbook([]))
+    found = workbooks.lines(workbooks.read_workbooks(spark, str(tmp_path / "a b"))).collect()
+    assert sorted((r.file[-6:], r.row, len(r.fields)) for r in found) == [(f"{k}.xlsx", row, n) for k in "12" for row, n in ((4, 2), (5, 2), (9, 1), (10, 1))]
+
+
+def test_members_of_archives_are_tasks(spark, tmp_path):
+    place = tmp_path / "of a %20 day"
+    place.mkdir()
+    many = "<r>" + "".join(f"<d n='{k}'><d2>é &amp; {k}</d2></d> tail" for k in range(1203)) + "</r>"
+    for k, packing in enumerate((zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED)):
+        with zipfile.ZipFile(place / f"{k}.zip", "w", packing) as z:
+            z.writestr("sub/a.XML", many)
+            z.writestr("b.xml", "<r><d n='one'/><x/></r>")
+            z.writestr("none.xml", "<r/>")
+            z.writestr("c.txt", "<d/>")
+            z.writestr("empty.xml", "")
+    listed = archives.members(spark, str(place))
+    assert listed.count() == 6
+    got = archives.records(spark, str(place), "d")
+    assert got.rdd.getNumPartitions() == 6
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 2 * 1204 and len({(r.path, r.member) for r in rows}) == len({r.task for r in rows}) == 4
+    assert sorted({r.record for r in rows if "b.xml" == r.member}) == ['<d n="one" />'] and '<d n="7"><d2>é &amp; 7</d2></d>' in {r.record for r in rows}
+    assert archives.records(spark, str(place), "nothing").count() == 0
+    data = (place / "0.zip").read_bytes()
+    (at, packed) = listed.filter("member = 'sub/a.XML' AND path LIKE '%0.zip'").select("at", "packed").first()
+    assert b"".join(archives.unpacked(io.BytesIO(data), at, packed, 8)).decode() == many
+    with pytest.raises(ValueError, match="ends before"):
+        list(archives.unpacked(io.BytesIO(data), at, packed - 9, 8))
+    with pytest.raises(ValueError, match="method 14"):
+        list(archives.unpacked(io.BytesIO(data), at, packed, 14))
+
+
 def test_files_are_joined_by_lot(spark):
     heads = "lot_id;наименование закупки;Инн заказчика;чужая\n7;Уборка;780214107099;x\n8;Ремонт;12;x\n"
     rows = "lot_id;наименование;окпд2\n7;Мытьё окон;81.2\n9;Стул;31.01\n"
