@@ -1,13 +1,15 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into blocks of text, each with its root-to-leaf tag path (tags with their class names). Per path, text
-length, punctuation and link text are summed over the page; the ratio of a path is its text per block and its punctuation
-per block, both on a logarithmic scale relative to the page's best path, times the share that is no link text. Ratios are
-smoothed in page order by a Gaussian window that weighs neighbours by how much of their path they share, and fused with
-what the names on the path say (menu, footer, advert, comments ...: a factor below one; article, main: above). The mean
-over a path's blocks is its value; paths whose value reaches LEAST of the page's best are content, wherever they stand.
+length, punctuation and link text are summed over the page; the ratio of a path is the square root of its text times its
+punctuation, both relative to the page's best path, times the share that is no link text. Ratios are smoothed in page
+order by a Gaussian window that weighs neighbours by how much of their path they share; the mean over a path's blocks is
+its value. What the names on the path say (menu, footer, advert, comments ...: a factor below one; article, main: above)
+weighs this value once. Paths half a standard deviation above the mean of all paths are content, wherever they stand, as
+are those that reach half of the best.
 A short block of another path (headings, list items) is kept where its names are as good as the content's and it lies
-between content blocks of one element, or in the smallest element around nearly all content; lists of links aren't.
+between content blocks of one element, or in the smallest element around nearly all content; where only the page holds
+nearly all of it, also as the heading of an element that holds content. Lists of links aren't.
 
 Names never empty a wrapper: an element that holds the main element or most of the text that is no link, on pages without
 an article outside of it, is not judged by its name. A class or id counts as a whole: "site-header" is boilerplate,
@@ -60,14 +62,15 @@ WRAPPERS = frozenset("nav header footer aside form dialog menu".split())
 NEVER_WRAPPERS = re.compile(r"ads?|adv|advert\w*|adsense|adbox|adslot|banners?|sponsor\w*|promo\w*|newsletter|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|related|recommended|cookies?|consent|gdpr|popup|modal|overlay|hidden")
 #: Elements that hold a single paragraph or heading.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote caption figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_CUT = frozenset(("html", "body", "main", "article"))
 CONTENT = frozenset(("article", "main"))
-#: Of the best path's value, what content needs; and the share of all content that the smallest element around it holds.
-LEAST, NEARLY_ALL = 0.3, 0.9
+#: Of the best path's value, the most that content needs; and the share of all content that the smallest element around it holds.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: Factors for names on a path: boilerplate that a wrapper may be named, boilerplate that none is, and the main element.
 NAMED, NEVER, MAIN = 0.1, 0.02, 2.0
 #: What a path without punctuation keeps of its ratio; blocks on either side that the window reaches.
-PLAIN, WINDOW = 0.35, 2
+PLAIN, WINDOW = 0.1, 2
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
@@ -246,27 +249,32 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 
 def ratios(blocks: list[tuple[Element, str, int]], names: list[float]) -> list[float]:
-    """The value of each block's tag path: ratio, smoothed, fused with the names, averaged over the path's blocks."""
+    """The value of each block's tag path: text and punctuation of the whole path, fused, smoothed over the page and averaged
+    over the path's blocks; names weigh the result once."""
     paths = [e.path() for e, _, _ in blocks]
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
     for p, (_, text, links) in zip(paths, blocks, strict=True):
-        s = sums[p]
-        for k, v in enumerate((len(text), len(PUNCTUATION.findall(text)), min(links, len(text)), 1)):
-            s[k] += v
-    length = {p: math.log1p(c / n) for p, (c, _, _, n) in sums.items()}
-    marks = {p: math.log1p(d / n) for p, (_, d, _, n) in sums.items()}
-    longest, most = max(length.values()), max(marks.values()) or 1.0
-    ratio = {p: length[p] / longest * (PLAIN + (1 - PLAIN) * marks[p] / most) * (1 - sums[p][2] / sums[p][0]) for p in sums}
-    own = [ratio[p] * f for p, f in zip(paths, names, strict=True)]
+        for k, v in enumerate((len(text), len(PUNCTUATION.findall(text)), min(links, len(text)))):
+            sums[p][k] += v
+    longest, most = max(c for c, _, _ in sums.values()), max(d for _, d, _ in sums.values()) or 1
+    own = {p: math.sqrt(c / longest * (PLAIN + (1 - PLAIN) * d / most)) * (1 - links / c) for p, (c, d, links) in sums.items()}
     values: dict[tuple[str, ...], list[float]] = defaultdict(list)
     for k, p in enumerate(paths):
         total = weight = 0.0
         for j in range(max(0, k - WINDOW), min(len(paths), k + WINDOW + 1)):
             w = math.exp(-((j - k) ** 2) / 2) * likeness(p, paths[j]) ** 2
-            total, weight = total + w * own[j], weight + w
-        values[p].append(0.5 * own[k] + 0.5 * total / weight * min(1.0, names[k]))
+            total, weight = total + w * own[paths[j]], weight + w
+        values[p].append(0.5 * own[p] + 0.5 * total / weight)
     mean = {p: sum(v) / len(v) for p, v in values.items()}
-    return [mean[p] for p in paths]
+    return [mean[p] * n for p, n in zip(paths, names, strict=True)]
+
+
+def limit(blocks: list[tuple[Element, str, int]], scores: list[float]) -> float:
+    """What content needs: half a standard deviation above the mean of all paths' values, at most half the best value."""
+    values = list({(e.path(), s) for (e, _, _), s in zip(blocks, scores, strict=True)})
+    mean = math.fsum(v for _, v in values) / len(values)
+    spread = math.sqrt(math.fsum((v - mean) ** 2 for _, v in values) / len(values))
+    return min(mean + 0.5 * spread, MOST * max(scores))
 
 
 def main_text(page: str | None) -> str:
@@ -275,8 +283,8 @@ def main_text(page: str | None) -> str:
         return ""
     names = evidence(blocks)
     scores = ratios(blocks, names)
-    best = max(scores)
-    passes = [s >= LEAST * best for s in scores] if best > 0 else [n >= 1 and not e.listed for n, (e, _, _) in zip(names, blocks, strict=True)]
+    least = limit(blocks, scores)
+    passes = [s >= least for s in scores] if least > 0 else [n >= 1 and not e.listed for n, (e, _, _) in zip(names, blocks, strict=True)]
     total = 0
     for k, (yes, (e, t, _)) in enumerate(zip(passes, blocks, strict=True)):
         if yes:
@@ -288,7 +296,7 @@ def main_text(page: str | None) -> str:
                 e = e.parent
     clean = max((n for n, yes in zip(names, passes, strict=True) if yes), default=0.0)
     up = next((e for yes, (e, _, _) in zip(passes, blocks, strict=True) if yes), None)
-    while up is not None and (up.mass < NEARLY_ALL * total or up.tag in LEAVES):
+    while up is not None and (up.mass < NEARLY_ALL * total or up.tag in LEAVES or up.tag not in BLOCK):
         up = up.parent
     root = up if up is not None and up.tag not in ("", "html", "body") else None
     kept = []
@@ -301,7 +309,8 @@ def main_text(page: str | None) -> str:
         around, up = up, e
         while up is not None and up is not root:
             up = up.parent
-        if yes or around is not None and around.first < k < around.last or up is not None:
+        leads = root is None and around is not None and around.tag not in ("", "html", "body") and e.tag in HEADINGS and k < around.first
+        if yes or leads or around is not None and around.first < k < around.last or up is not None:
             kept.append(t)
     return " ".join(kept)
 

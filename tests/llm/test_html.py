@@ -30,13 +30,12 @@ def slow_ratios(blocks, names):
 
     paths = [path(e) for e, _, _ in blocks]
     own, n = [], len(blocks)
-    mean = lambda p, f: sum(f(b) for q, b in zip(paths, blocks) if q == p) / sum(q == p for q in paths)
+    total = lambda p, f: sum(f(b) for q, b in zip(paths, blocks) if q == p)
     dots = lambda t: sum(c in ".,;:!?…。、，！？" for c in t)
-    length = [math.log(1 + mean(p, lambda b: len(b[1]))) for p in paths]
-    marks = [math.log(1 + mean(p, lambda b: dots(b[1]))) for p in paths]
+    length, marks, links = ([total(p, f) for p in paths] for f in (lambda b: len(b[1]), lambda b: dots(b[1]), lambda b: min(b[2], len(b[1]))))
     for k in range(n):
-        links = mean(paths[k], lambda b: min(b[2], len(b[1]))) / mean(paths[k], lambda b: len(b[1]))
-        own.append(length[k] / max(length) * (H.PLAIN + (1 - H.PLAIN) * (marks[k] / max(marks) if max(marks) else 0)) * (1 - links) * names[k])
+        fused = length[k] / max(length) * (H.PLAIN + (1 - H.PLAIN) * (marks[k] / max(marks) if max(marks) else 0))
+        own.append(fused**0.5 * (1 - links[k] / length[k]))
 
     def like(a, b):
         a, b = a[:-1], b[:-1]
@@ -46,8 +45,8 @@ def slow_ratios(blocks, names):
     fused = []
     for k in range(n):
         near = [(math.exp(-((j - k) ** 2) / 2) * like(paths[k], paths[j]) ** 2, own[j]) for j in range(n) if abs(j - k) <= H.WINDOW]
-        fused.append((own[k] + min(1, names[k]) * sum(w * x for w, x in near) / sum(w for w, _ in near)) / 2)
-    return [sum(f for q, f in zip(paths, fused) if q == p) / sum(q == p for q in paths) for p in paths]
+        fused.append((own[k] + sum(w * x for w, x in near) / sum(w for w, _ in near)) / 2)
+    return [names[k] * sum(f for q, f in zip(paths, fused) if q == p) / sum(q == p for q in paths) for k, p in enumerate(paths)]
 
 
 def test_ratios_equal_their_definition():
@@ -68,6 +67,21 @@ def test_the_ratios_decide(monkeypatch):
     assert H.main_text(page) == f"One Two Title {LONG} {LONG} Imprint"
 
 
+def test_paths_are_told_apart_without_names(monkeypatch):
+    monkeypatch.setattr(H, "evidence", lambda blocks: [1.0] * len(blocks))
+    story = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} {LONG}</p><p>Short.</p>"
+    want = f"Title {LONG} {LONG} {LONG} Short."
+    menu, foot = '<ul><li><a href="/">One</a></li><li><a href="/">Two</a></li></ul>', "<footer>&copy; A firm. All of it.</footer>"
+    for page in (f'<body>{menu}<div class="ad">Buy now, the best.</div><article>{story}</article>{foot}</body>', f'<body>{menu}<div class="x"><section>{story}</section></div><div class="y"><p>Other, and so on.</p></div>{foot}</body>'):
+        assert H.main_text(page) == want
+
+
+def test_headlines_stay_and_adverts_go():
+    assert H.main_text(f'<div id="story"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class="more-stories"><p>Other story, read it.</p></div>') == f"T {LONG} {LONG}"
+    assert H.main_text(f'<body><div class="top-ad-slot"><p>Buy now, the best offer.</p></div><article><h1>T</h1><p>{LONG}</p></article>') == f"T {LONG}"
+    assert H.main_text(f"<article><h1>T</h1><p><b>{LONG} {LONG}<br><p>Short.</p></article><footer>A firm.</footer>") == f"T {LONG} {LONG} Short."
+
+
 @pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-header main", "page with-sidebar", "content no-sidebar", "post tags-news", "footer-widgets-on"])
 def test_names_never_empty_a_wrapper(name):
     page = f'<body><div class="{name}"><article><h1>Title</h1><p>{LONG}</p><p>Short.</p></article></div><div class="sidebar"><p>{LONG}</p></div></body>'
