@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,22 @@ def test_empty_index_and_unknown_words(spark, tmp_path):
     kept = S.added(nothing, spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"]), (3, []), (4, ["d"]), (5, ["e"]), (6, ["f"]), (7, None)], SCHEMA))
     asked = spark.createDataFrame([(1, "a"), (2, "nowhere")], "query_id long, term string")
     assert rows(S.similar(T.query_vectors(asked, kept.idf), kept, 5)) == {(1, 1): (1, 1.0), (1, 2): (2, 1.0)}
+
+
+def test_copies_are_weighed_once_and_found_as_a_search_of_every_document_finds_them(spark):
+    rng = random.Random(9)
+    kinds = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))] for _ in range(30)]
+    rows = [(i, rng.sample(kinds[i % 30], len(kinds[i % 30]))) for i in range(600)]
+    index = T.fit(spark.createDataFrame(rows, "id long, terms array<string>"), 2, 0.9)
+    assert index.weights.select("cls").distinct().count() <= len({tuple(sorted(k)) for k in kinds})
+    held = defaultdict(dict)
+    for r in index.postings.collect():
+        held[r["id"]][r["term"]] = r["w"]
+    vectors = [(q, t, w) for q in range(3) for t, w in zip(rng.sample("abcdefgh", 3), (0.8, 0.5, 0.33))]
+    barred = {(q, i) for q in range(3) for i in range(0, 600, 7)}
+    eligible = spark.createDataFrame([(i, i % 2) for i, _ in rows if i % 5], "id long, side long")
+    found = T.similar(spark.createDataFrame(vectors, "query_id long, term string, w double"), index, 40, eligible, F.col("side") == F.col("own"), spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "query_id long, own long"), spark.createDataFrame(sorted(barred), "query_id long, id long"))
+    for q in range(3):
+        scores = {i: round(sum(w * held[i].get(t, 0) for x, t, w in vectors if x == q), 9) for i, _ in rows if i % 5 and i % 2 == (q == 1) and (q, i) not in barred}
+        best = sorted((-s, i) for i, s in scores.items() if s > 0)[:40]
+        assert [r["id"] for r in found.filter(F.col("query_id") == q).orderBy("place").collect()] == [i for _, i in best]
