@@ -4,7 +4,8 @@ Counting. All words of the training texts take part, by hash (48 bits; n-grams h
 millions of tokens at a time and send them to shards, which are ranges of the hash space of the last two words: a shard
 has all trigrams that end in a pair, and so the pair's continuation count. From there go sums for words (how often, after
 how many others, with what mass left) and for the two words before a trigram to shards of their own. The number of shards
-follows the amount of text, so that a shard's size doesn't; the driver gets counts of counts only.
+follows the amount of text, so that a shard's size doesn't; the driver gets counts of counts only. Shards are counted
+in rounds, and a round's messages go before the next one's are written.
 
 Pruning. Trigrams that occur once, and pairs after one word only, are not stored: their discount is their whole count, so
 their mass goes to the shorter history, in contexts that are seen as well (LEAST; all counts of words stay).
@@ -23,7 +24,9 @@ length are read whole; an empty table gives an empty result; only doc_id and tex
 from __future__ import annotations
 
 import fcntl
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -42,6 +45,11 @@ from .common import LARGE_ROWS, binary_list, dropped, few_rows_at_once, fresh_pa
 LEAST = (1, 1)
 #: Bytes of text that one shard answers for; tokens that a task counts or looks up at a time; words whose hash a worker remembers.
 SHARD_BYTES, COUNTED, LOOKED_UP, REMEMBERED = 4 << 20, 1_000_000, 200_000, 200_000
+#: The texts are counted so many times, each time for a part of the shards, so that no more messages than theirs stand on disk at once.
+ROUNDS = 2
+#: Files that a worker maps at a time; before Python 3.13 each map holds a descriptor.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MAPPED = 30_000 if UNTRACKED else 400
 #: Hashes of what no word is: the end of a text and what stands before it.
 END, BEGIN = (xxhash.xxh3_64_intdigest(x) >> 16 for x in (b" ", b"  "))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -149,8 +157,8 @@ def edges(keys: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, slic
     return [(s, slice(a, b)) for s, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
 
 
-def count_triples(docs: DataFrame, shards: int) -> DataFrame:
-    """Messages to the shards: pairs (v, w) with how many u come before them, and each u (32 bits) with its count."""
+def count_triples(docs: DataFrame, shards: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """Messages to the shards of this round: pairs (v, w) with how many u come before them, and each u (32 bits) with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
@@ -160,6 +168,9 @@ def count_triples(docs: DataFrame, shards: int) -> DataFrame:
             where = np.concatenate([t.at.astype(np.int32) + k for t, k in zip(held, np.cumsum([0, *(len(t.x) for t in held)]), strict=False)])
             held.clear()
             pairs = pair_keys(x[where - 1], x[where])
+            if rounds > 1:
+                mine = shard_of(pairs, shards) % rounds == turn
+                pairs, where = pairs[mine], where[mine]
             _, first, counts = np.unique(triple_keys(pairs, x[where - 2] >> np.uint64(16)), return_index=True, return_counts=True)
             pairs, at = pairs[first], where[first]
             order = np.argsort(pairs, kind="stable")
@@ -399,11 +410,16 @@ class Tables:
 
     def shard(self, kind: int, s: int) -> list[np.ndarray]:
         if (kind, s) not in self.open:
+            if len(self.open) >= MAPPED:
+                self.open.clear()
             path, types = f"{self.folder}/{kind}-{s}", VALUES[kind]
             size = os.path.getsize(path) if os.path.exists(path) else 0
-            n, at, out = size // sum(np.dtype(t).itemsize for t in types), 0, []
+            n, at, out, data = size // sum(np.dtype(t).itemsize for t in types), 0, [], b""
+            if n:
+                with open(path, "rb") as f:
+                    data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
             for t in types:
-                out.append(np.memmap(path, t, "r", at, (n,)) if n else np.zeros(0, t))
+                out.append(np.frombuffer(data, t, n, at) if n else np.zeros(0, t))
                 at += n * np.dtype(t).itemsize
             self.open[kind, s] = out
         return self.open[kind, s]
@@ -445,15 +461,18 @@ def learn(docs: DataFrame, least: tuple[int, int] = LEAST, shard_bytes: int = SH
     """docs: text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     shards = max(8, size // shard_bytes)
-    spark, paths = docs.sparkSession, [fresh_path(docs.sparkSession) for _ in range(3)]
+    spark, paths = docs.sparkSession, [fresh_path(docs.sparkSession) for _ in range(2 + ROUNDS)]
     base, folder = model_folder(spark)
     kept = lambda df, path: written(df, "zstd", path, LARGE_ROWS)
     of = lambda df, kind: df.filter(F.col("kind") == kind)
     stats = lambda df, like: sum((unpacked(STATS, r["keys"], r["sums"])[1] for r in of(df, STATS).collect()), np.zeros(like, np.int64))
-    counted = kept(count_triples(docs, shards).groupBy("shard").applyInArrow(learn_shard(least, shards, folder), PACKED), paths[0])
-    released(spark)
+    counted = None
+    for turn, path in enumerate(paths[2:]):
+        part = kept(count_triples(docs, shards, turn, ROUNDS).groupBy("shard").applyInArrow(learn_shard(least, shards, folder), PACKED), path)
+        counted = part if counted is None else counted.unionByName(part)
+        released(spark)
     with few_rows_at_once(spark):
-        merged = {k: kept(of(counted, k).groupBy("shard").applyInArrow(merge_shard(k), PACKED), path) for k, path in zip((WORDS, CONTEXTS), paths[1:], strict=True)}
+        merged = {k: kept(of(counted, k).groupBy("shard").applyInArrow(merge_shard(k), PACKED), path) for k, path in zip((WORDS, CONTEXTS), paths[:2], strict=True)}
         some, words = stats(counted, (4, 2)), stats(merged[WORDS], (8, 1))[:, 0]
         of_pairs, of_triples = discounts(some[:, 0], least[0]), discounts(some[:, 1], least[1])
         left = [of(counted, PAIRS), of(counted, TRIPLES)] if folder is None else []

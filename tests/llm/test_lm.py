@@ -1,6 +1,7 @@
 """The model against a slow one over dictionaries, and what every language model must hold."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -116,3 +117,20 @@ def test_small_tables(spark, rows, least):
     slow = Slow([t for _, t in rows], least)
     want = [sum(math.log10(slow.p(*x)) for x in zip(["<s>", "<s>", *tokens(t)], ["<s>", *tokens(t)], tokens(t))) for _, t in rows]
     assert sorted(r.score for r in got) == pytest.approx(sorted(want), rel=1e-5)
+
+
+def test_more_shards_than_files_may_be_open(tmp_path):
+    import resource
+
+    for s in range(300):
+        for kind in (lm.PAIRS, lm.TRIPLES):
+            lm.store(str(tmp_path), kind, s, lm.file_of(kind, np.array([s + 1], np.uint64), np.array([[s]])))
+    model = lm.Model(0, 0, 0, None, None, None, 300, str(tmp_path), (), 1.0)
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 450, hard))
+    try:
+        tables = lm.Tables(model)
+        for kind in (lm.PAIRS, lm.TRIPLES):
+            assert [int(tables.shard(kind, s)[1][0]) for s in range(300)] == list(range(300))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
