@@ -39,7 +39,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LARGE_ROWS, binary_list, dropped, few_rows_at_once, fresh_path, mix64, released, table, tidy, trimmed, written
+from .common import LARGE_ROWS, binary_list, dropped, few_rows_at_once, fresh_path, mix64, released, table, tidy, trimmed
 
 #: Least continuation count of a stored pair and least count of a stored trigram.
 LEAST = (1, 1)
@@ -47,6 +47,8 @@ LEAST = (1, 1)
 SHARD_BYTES, COUNTED, LOOKED_UP, REMEMBERED = 4 << 20, 1_000_000, 200_000, 200_000
 #: The texts are counted so many times, each time for a part of the shards, so that no more messages than theirs stand on disk at once.
 ROUNDS = 2
+#: Sums of words and of contexts are merged in so many parts, whose messages go as each becomes files; in one where there is little text.
+MERGES = 4
 #: Files that a worker maps at a time; before Python 3.13 each map holds a descriptor.
 UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 MAPPED = 30_000 if UNTRACKED else 400
@@ -196,15 +198,25 @@ def count_triples(docs: DataFrame, shards: int, turn: int = 0, rounds: int = 1)
     return docs.select("text").mapInArrow(tidy(run), "shard int, v binary, w binary, n binary, u binary, counts binary")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit integers, along the last axis their lowest bytes first, then the next ones."""
+    x = np.ascontiguousarray(x)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(*x.shape, 8).swapaxes(-1, -2)).tobytes()
+
+
+def unplaned(data: bytes, kind: type, *shape: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(*shape[:-1], 8, shape[-1]).swapaxes(-1, -2)).view(kind).reshape(shape)
+
+
 def packed(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
-    """Sorted keys as differences, which compress well, and sums, one column after the other."""
-    columns = [[r[0] for r in rows], [r[1] for r in rows], [np.diff(r[2], prepend=np.uint64(0)).tobytes() for r in rows], [np.ascontiguousarray(r[3].T, np.int64).tobytes() for r in rows]]
+    """Sorted keys as differences, and sums, one column after the other, both byte by byte of their integers, so that the upper bytes, nearly all zeros, compress to little."""
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [planes(np.diff(r[2], prepend=np.uint64(0))) for r in rows], [planes(r[3].T) for r in rows]]
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "shard", "keys", "sums"), columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
 def unpacked(kind: int, keys: bytes, sums: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.cumsum(np.frombuffer(keys, np.uint64), dtype=np.uint64)
-    return k, np.frombuffer(sums, np.int64).reshape(-1, len(k)).T if len(k) else np.zeros((0, WIDTHS.get(kind, 1)), np.int64)
+    k = np.cumsum(unplaned(keys, np.uint64, len(keys) // 8), dtype=np.uint64)
+    return k, unplaned(sums, np.int64, len(sums) // 8 // len(k), len(k)).T if len(k) else np.zeros((0, WIDTHS.get(kind, 1)), np.int64)
 
 
 def summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,34 +366,32 @@ def model_folder(spark: SparkSession) -> tuple[str, str | None]:
     return base, at.path
 
 
-def publish(tables: list[DataFrame], of_pairs: np.ndarray, of_triples: np.ndarray, base: str, folder: str | None) -> tuple[str, ...]:
-    """Makes the tables' files: in the folder if there is a mounted one, else as Parquet that every executor fetches. Returns the names of the fetched files."""
-    spark = tables[0].sparkSession
+def publish(rows: DataFrame, of_pairs: np.ndarray, of_triples: np.ndarray, base: str, folder: str | None, names: list[str]) -> list[tuple[bytes, bytes]]:
+    """Makes the files of a table: in the folder if there is a mounted one, else as Parquet that every executor fetches, whose names are added. Returns the rows of counts among the table's."""
+    spark = rows.sparkSession
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for kind, shard, keys, sums in zip(*(b.column(c) for c in ("kind", "shard", "keys", "sums")), strict=True):
-                kind, shard = kind.as_py(), shard.as_py()
-                data = file_of(kind, *unpacked(kind, keys.as_py(), sums.as_py()), of_pairs, of_triples)
-                if folder is not None:
-                    store(folder, kind, shard, data)
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([None if folder is not None else data], pa.binary())], ["kind", "shard", "data"])
-
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    rows = rows.mapInArrow(tidy(lay), "kind int, shard int, data binary")
-    if folder is not None:
-        rows.agg(F.count("*")).collect()
-        return ()
-    rows.write.options(**LARGE_ROWS).parquet(base)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    names = []
-    for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place):
-        if (name := f.getPath().getName()).startswith("part-"):
-            spark.sparkContext.addFile(f.getPath().toString())
-            names.append(name)
-    return tuple(sorted(names))
+                kind, shard, keys, sums = kind.as_py(), shard.as_py(), keys.as_py(), sums.as_py()
+                data = None
+                if kind != STATS:
+                    data, keys, sums = file_of(kind, *unpacked(kind, keys, sums), of_pairs, of_triples), None, None
+                    if folder is not None:
+                        store(folder, kind, shard, data)
+                        data = None
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (data, keys, sums))], ["kind", "shard", "data", "keys", "sums"])
+
+    rows = rows.mapInArrow(tidy(lay), "kind int, shard int, data binary, keys binary, sums binary")
+    if folder is None:
+        rows.write.options(**LARGE_ROWS).parquet(base)
+        rows = spark.read.schema(rows.schema).parquet(base)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place):
+            if (name := f.getPath().getName()).startswith("part-"):
+                spark.sparkContext.addFile(f.getPath().toString())
+                names.append(name)
+    return [(r["keys"], r["sums"]) for r in rows.filter(F.col("kind") == STATS).select("keys", "sums").collect()]
 
 
 def local_folder(names: tuple[str, ...]) -> str:
@@ -397,7 +407,8 @@ def local_folder(names: tuple[str, ...]) -> str:
                 f = pq.ParquetFile(SparkFiles.get(n))
                 for b in f.iter_batches(1):
                     for kind, shard, data in zip(*(b.column(c).to_pylist() for c in ("kind", "shard", "data")), strict=True):
-                        store(folder, kind, shard, data)
+                        if data is not None:
+                            store(folder, kind, shard, data)
             open(f"{folder}/done", "w").close()
     return folder
 
@@ -461,28 +472,40 @@ def learn(docs: DataFrame, least: tuple[int, int] = LEAST, shard_bytes: int = SH
     """docs: text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     shards = max(8, size // shard_bytes)
-    spark, paths = docs.sparkSession, [fresh_path(docs.sparkSession) for _ in range(2 + ROUNDS)]
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession)
     base, folder = model_folder(spark)
-    kept = lambda df, path: written(df, "zstd", path, LARGE_ROWS)
-    of = lambda df, kind: df.filter(F.col("kind") == kind)
-    stats = lambda df, like: sum((unpacked(STATS, r["keys"], r["sums"])[1] for r in of(df, STATS).collect()), np.zeros(like, np.int64))
-    counted = None
-    for turn, path in enumerate(paths[2:]):
-        part = kept(count_triples(docs, shards, turn, ROUNDS).groupBy("shard").applyInArrow(learn_shard(least, shards, folder), PACKED), path)
-        counted = part if counted is None else counted.unionByName(part)
+    merges = MERGES if shards > 8 else 1
+    part = F.pmod("shard", F.lit(merges))
+    for turn in range(ROUNDS):
+        rows = count_triples(docs, shards, turn, ROUNDS).groupBy("shard").applyInArrow(learn_shard(least, shards, folder), PACKED)
+        rows.withColumn("part", part).write.options(**LARGE_ROWS).option("compression", "zstd").partitionBy("kind", "part").parquet(f"{path}/round={turn}")
         released(spark)
+
+    def counted(kind: int, turn: int | None = None) -> DataFrame:
+        """What was counted and still stands: read anew, since parts go meanwhile."""
+        rows = spark.read.schema(f"{PACKED}, round int, part int").parquet(path).filter(F.col("kind") == kind)
+        return (rows if turn is None else rows.filter(F.col("part") == turn)).select("kind", "shard", "keys", "sums")
+
+    sums_of = lambda rows, like: sum((unpacked(STATS, *r)[1] for r in rows), np.zeros(like, np.int64))
+    some = sums_of([(r["keys"], r["sums"]) for r in counted(STATS).collect()], (4, 2))
+    of_pairs, of_triples = discounts(some[:, 0], least[0]), discounts(some[:, 1], least[1])
+    merged, names = [], []
     with few_rows_at_once(spark):
-        merged = {k: kept(of(counted, k).groupBy("shard").applyInArrow(merge_shard(k), PACKED), path) for k, path in zip((WORDS, CONTEXTS), paths[:2], strict=True)}
-        some, words = stats(counted, (4, 2)), stats(merged[WORDS], (8, 1))[:, 0]
-        of_pairs, of_triples = discounts(some[:, 0], least[0]), discounts(some[:, 1], least[1])
-        left = [of(counted, PAIRS), of(counted, TRIPLES)] if folder is None else []
-        names = publish([*left, of(merged[CONTEXTS], CONTEXTS), of(merged[WORDS], WORDS)], of_pairs, of_triples, base, folder)
-    for path in paths:  # the tables' files are all that is needed from here on
-        dropped(spark, path)
+        for kind, turn in [(k, t) for k in (WORDS, CONTEXTS) for t in range(merges)]:
+            rows = counted(kind, turn).groupBy("shard").applyInArrow(merge_shard(kind), PACKED)
+            merged += publish(rows, of_pairs, of_triples, f"{base}/{kind}-{turn}" if folder is None else base, folder, names)
+            for r in range(ROUNDS):
+                dropped(spark, f"{path}/round={r}/kind={kind}/part={turn}")
+            released(spark)
+        if folder is None:
+            for kind in (PAIRS, TRIPLES):
+                publish(counted(kind), of_pairs, of_triples, f"{base}/{kind}", folder, names)
+    words = sums_of(merged, (8, 1))[:, 0]
+    dropped(spark, path)  # the tables' files are all that is needed from here on
     released(spark)
     of_words = discounts(words[:4], 1)
     spread = float(of_words[1:] @ words[[0, 1, 7]]) / int(words[4]) if words[4] else 1.0
-    return Model(int(words[5]), int(words[6]), int(words[4]), of_words, of_pairs, of_triples, int(shards), folder, names, spread)
+    return Model(int(words[5]), int(words[6]), int(words[4]), of_words, of_pairs, of_triples, int(shards), folder, tuple(sorted(names)), spread)
 
 
 def score(docs: DataFrame, training: Column, least: tuple[int, int] = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -134,3 +134,34 @@ def test_more_shards_than_files_may_be_open(tmp_path):
             assert [int(tables.shard(kind, s)[1][0]) for s in range(300)] == list(range(300))
     finally:
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
+def test_merged_parts_go_before_the_next(spark, monkeypatch):
+    """What has become files doesn't stand as messages as well: before each merge one part fewer is there."""
+    seen, publish = [], lm.publish
+
+    def watched(rows, *rest):
+        there = {(f.split("kind=")[1].split("/")[0], f.split("part=")[1].split("/")[0]) for f in rows.inputFiles()}
+        seen.append(sum(kind in (str(lm.WORDS), str(lm.CONTEXTS)) for kind, _ in there))
+        return publish(rows, *rest)
+
+    monkeypatch.setattr(lm, "publish", watched)
+    monkeypatch.setattr(lm, "released", lambda spark: None)
+    texts = made(40)
+    lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), shard_bytes=sum(len(t or "") for t in texts) // 12)
+    assert seen == list(range(2 * lm.MERGES, 0, -1))
+
+
+@pytest.mark.parametrize("shape", [(0,), (5,), (7, 3), (5, 0)])
+def test_planes_are_undone(shape):
+    x = np.random.default_rng(3).integers(0, 1 << 62, shape)
+    assert np.array_equal(lm.unplaned(lm.planes(x), np.int64, *shape), x)
+
+
+def test_messages_are_small():
+    """Keys that lie 2^40 apart take five bytes of eight, and small counts little."""
+    keys = np.cumsum(np.random.default_rng(5).integers(1, 1 << 40, 20_000).astype(np.uint64), dtype=np.uint64)
+    row = lm.packed([(lm.CONTEXTS, 0, keys, np.ones((len(keys), 5), np.int64))])
+    assert len(zlib.compress(row["keys"][0].as_py(), 1) + zlib.compress(row["sums"][0].as_py(), 1)) < 5.6 * len(keys)
+    k, sums = lm.unpacked(lm.CONTEXTS, row["keys"][0].as_py(), row["sums"][0].as_py())
+    assert np.array_equal(k, keys) and sums.shape == (len(keys), 5) and (sums == 1).all()
