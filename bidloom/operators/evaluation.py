@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -53,9 +54,11 @@ def replicates(values: DataFrame, n: int = 1000, columns: tuple[str, ...] = ("va
     A row's weight in a resample is a Poisson count drawn by hash of key and number, which stands in for drawing as many rows
     with replacement: one aggregation over n groups, summed up before the shuffle."""
     part = F.conv(F.substring(F.md5(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("replicate").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: F.col("part") >= p))
-    rows = values.select("key", *columns, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")).withColumn("part", part).withColumn("weight", weight).filter("weight > 0")
-    return rows.groupBy("replicate").agg(*[(F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in columns])
+    # Comparisons are added up, which Spark compiles, where a filter over an array is interpreted; rows of weight zero add nothing.
+    weight = reduce(lambda a, b: a + b, [(F.col("part") >= p).cast("int") for p in POISSON])
+    rows = values.select("key", *columns, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")).withColumn("part", part).withColumn("weight", weight)
+    sums = rows.groupBy("replicate").agg(F.sum("weight").alias("total"), *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns]).filter("total > 0")
+    return sums.select("replicate", *[(F.col(c) / F.col("total")).alias(c) for c in columns])
 
 
 def interval(values: DataFrame, n: int = 1000, columns: tuple[str, ...] = ("value",), share: float = 0.95) -> DataFrame:
