@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidloom.functions.lineage import kept
 from bidloom.functions.scalars import level
 
 
@@ -18,16 +19,21 @@ def top_by_code(codes8: DataFrame, most: int = 50) -> DataFrame:
 
 
 def baseline_codes(lot_codes: DataFrame, best: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, inn, place: lists of the lot's codes one after another, each supplier once. lot_codes: query_id, code8, at (order of the code)."""
-    rows = lot_codes.select("query_id", "code8", F.col("at").alias("code_at")).join(best, "code8").groupBy("query_id", "inn").agg(F.min(F.struct("code_at", "at")).alias("key"))
+    """query_id, inn, place: lists of the lot's codes one after another, each supplier once. lot_codes: query_id, code8, at (order of the code).
+
+    A code lists a supplier once, so that only its first k can count, and nothing of the codes after one that lists k."""
+    lists = kept(best.filter(F.col("at") <= k).groupBy("code8").agg(F.array_sort(F.collect_list(F.struct("at", "inn"))).alias("list")))
+    before = Window.partitionBy("query_id").orderBy("code_at").rangeBetween(Window.unboundedPreceding, -1)
+    rows = lot_codes.select("query_id", "code8", F.col("at").alias("code_at")).join(lists, "code8").withColumn("longest", F.max(F.size("list")).over(before))
+    rows = rows.filter(F.coalesce("longest", F.lit(0)) < k).select("query_id", "code_at", F.inline("list")).groupBy("query_id", "inn").agg(F.min(F.struct("code_at", "at")).alias("key"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("key", "inn"))).filter(F.col("place") <= k).select("query_id", "inn", "place")
 
 
 def baseline_customer(queries: DataFrame, lot_classes: DataFrame, customer_classes: DataFrame, by_codes: DataFrame, k: int = 10) -> DataFrame:
     """Suppliers by wins for the customer in the lot's classes, then those of the code baseline. queries: query_id, customer_inn; lot_classes: query_id, cls."""
-    known = queries.join(lot_classes.distinct(), "query_id").join(customer_classes, ["customer_inn", "cls"]).groupBy("query_id", "inn").agg(F.sum("wins").alias("wins"))
-    rest = by_codes.join(known, ["query_id", "inn"], "left_anti").select("query_id", "inn", F.lit(0).cast("long").alias("wins"), F.col("place").alias("late"))
-    both = known.select("query_id", "inn", "wins", F.lit(0).alias("late")).union(rest)
+    known = queries.join(lot_classes.repartition("query_id").distinct(), "query_id").join(customer_classes, ["customer_inn", "cls"]).select("query_id", "inn", "wins", F.lit(0).alias("late"))
+    both = known.union(by_codes.select("query_id", "inn", F.lit(0).cast("long").alias("wins"), F.col("place").alias("late"))).repartition("query_id")
+    both = both.groupBy("query_id", "inn").agg(F.sum("wins").alias("wins"), F.min("late").alias("late"))
     return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("wins"), "late", "inn"))).filter(F.col("place") <= k).select("query_id", "inn", "place")
 
 
